@@ -18,7 +18,9 @@ RANGE_31 = 2147483648.0
 
 
 def _hex_number(digest: Column, start: int, length: int) -> Column:
-    return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
+    number = F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
+    # never null; saying so spares a null filter that would repeat the md5
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def group_seeds(seed: int, *key: Column) -> tuple[Column, Column]:

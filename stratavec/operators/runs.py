@@ -56,11 +56,23 @@ def run_groups(
     )
 
 
-def run_pairs(grouped: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of one run may see each other both ways: per row, the span it sees."""
-    span = (
-        grouped.filter("run_group >= 0")
-        .groupBy(key, "run_group")
+def run_spans(grouped: DataFrame, key: str, order: str, block: int = ORDER_BLOCK) -> DataFrame:
+    """Rows of one run see each other both ways: per row, the span it sees.
+
+    A run may hold most rows, and so may the rows outside any run.  The span of
+    a run is repeated for the blocks it covers, so a join key matches at most
+    one block of rows; rows outside a run skip the join.
+    """
+    flagged = grouped.filter("run_group >= 0").withColumn(
+        "_block", F.floor(F.col(order) / F.lit(block))
+    )
+    covered = F.sequence(
+        F.floor(F.col("run_start") / F.lit(block)), F.floor(F.col("run_end") / F.lit(block))
+    )
+    spans = (
+        flagged.groupBy(key, "run_group")
         .agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"))
+        .withColumn("_block", F.explode(covered))
     )
-    return grouped.join(span, [key, "run_group"], "left")
+    inside = flagged.join(spans, [key, "run_group", "_block"]).drop("_block")
+    return inside.unionByName(grouped.filter("run_group < 0"), allowMissingColumns=True)

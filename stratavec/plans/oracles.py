@@ -541,6 +541,10 @@ _TEXTS: dict[str, str] = {
         "SELECT count(*) AS captured_rows, count(DISTINCT (example_id, layer, kind)) AS captured_payloads, "
         "count(DISTINCT config) AS captured_configs FROM cap"
     ),
+    "capture_run": (
+        "SELECT branch, 'model-a' AS model_name, branch AS sampling_strategy, bucket, count(*) AS n_rows "
+        "FROM branched GROUP BY branch, bucket"
+    ),
     "stream_capture": f"SELECT {STORED_ROWS} FROM cap",
 }
 _TEXTS["custom_sampler_udf"] = _TEXTS["custom_sampler"]

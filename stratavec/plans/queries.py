@@ -17,6 +17,7 @@ from stratavec import defaults as D
 from stratavec.functions import buckets, ids, vectors
 from stratavec.functions.naming import config_name
 from stratavec.operators import attention, gather, heads, runs, sampling, statistics, tokens
+from stratavec.plans import run
 from stratavec.plans.capture import (
     capture,
     groups_of,
@@ -749,7 +750,7 @@ def run_groups(spark, folder):
 
 @register
 def run_group_spans(spark, folder):
-    return runs.run_pairs(run_groups(spark, folder), "conv_id", "turn")
+    return runs.run_spans(run_groups(spark, folder), "conv_id", "turn")
 
 
 # --- catalogue ------------------------------------------------------------------
@@ -921,6 +922,29 @@ def capture_counters(spark, folder):
     return statistics.capture_counters(captured(spark, folder))
 
 
+@register
+def capture_run(spark, folder):
+    root = scratch_path(spark, "run")
+    for branch, settings in (("uniform", D.SETTINGS), ("log", LOG_SETTINGS)):
+        run.run_capture(
+            documents(spark, folder),
+            settings,
+            encoder(spark, folder),
+            root=root,
+            branch=branch,
+            model_name="model-a",
+            metadata={"dataset_split": "all"},
+        )
+    manifest = run.read_manifest(spark, root)
+    return manifest.select(
+        "branch",
+        "model_name",
+        F.col("metadata")["sampling_strategy"].alias("sampling_strategy"),
+        "bucket",
+        "n_rows",
+    )
+
+
 # --- streaming ------------------------------------------------------------------
 
 
