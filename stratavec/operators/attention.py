@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from stratavec.defaults import KEY_TILE, Layout
 from stratavec.functions.vectors import dot, soft_cap
 
+# exp(EXP_STEP / 2) times any number of keys is far below the largest double
+EXP_STEP = 500.0
 QUERY_ROW = ("example_id", "layer", "head", "q_position")
 
 
@@ -118,37 +120,54 @@ def visible_rows(pairs: DataFrame) -> DataFrame:
     )
 
 
-def with_softmax_terms(
-    queries: DataFrame, keys: DataFrame, layout: Layout, softcap: float | None = None
-) -> DataFrame:
-    """Query rows with the shift (largest logit) and the sum of shifted
-    exponentials.  The pairs are built twice, which is cheaper than shuffling
-    and sorting them once: what moves is one row per query."""
-    top = (
-        causal_pairs(queries, keys, layout, softcap)
-        .groupBy(*QUERY_ROW)
-        .agg(F.max("logit").alias("shift"))
-    )
-    shifted = queries.join(top, list(QUERY_ROW))
-    weight = F.exp(F.col("logit") - F.col("shift"))
-    terms = (
-        causal_pairs(shifted, keys, layout, softcap)
-        .groupBy(*QUERY_ROW)
+def softmax_terms(pairs: DataFrame) -> DataFrame:
+    """Per query row: the largest logit ``shift``, ``n_keys``, and the sums of
+    exp(logit - shift) and of logit * exp(logit - shift).
+
+    The shift is known only after all pairs of a row were seen.  To need no
+    second pass, exponentials are summed relative to the nearest multiple of
+    ``EXP_STEP``, which cannot overflow, and the few steps of a row (one, unless
+    its logits lie hundreds apart) are brought to the common shift at the end.
+    """
+    step = F.rint(F.col("logit") / F.lit(EXP_STEP)) * F.lit(EXP_STEP)
+    weight = F.exp(F.col("logit") - F.col("_step"))
+    steps = (
+        pairs.withColumn("_step", step)
+        .groupBy(*QUERY_ROW, "_step")
         .agg(
-            F.first("shift").alias("shift"),
-            F.count("*").alias("n_keys"),
+            F.count("*").alias("n"),
+            F.max("logit").alias("top"),
             F.sum(weight).alias("total"),
-            F.sum(weight * F.col("logit")).alias("weighted_logit"),
+            F.sum(weight * F.col("logit")).alias("moment"),
+        )
+    )
+    rows = steps.groupBy(*QUERY_ROW).agg(
+        F.max("top").alias("shift"),
+        F.sum("n").alias("n_keys"),
+        F.collect_list(F.struct("_step", "total", "moment")).alias("_parts"),
+    )
+
+    def shifted(field: str) -> Column:
+        return F.aggregate(
+            "_parts",
+            F.lit(0.0),
+            lambda total, part: total + part[field] * F.exp(part["_step"] - F.col("shift")),
         )
+
+    return rows.select(
+        *QUERY_ROW,
+        "shift",
+        "n_keys",
+        shifted("total").alias("total"),
+        shifted("moment").alias("weighted_logit"),
     )
-    return terms
 
 
 def softmax_rows(
     queries: DataFrame, keys: DataFrame, layout: Layout, softcap: float | None = None
 ) -> DataFrame:
     """Per query row: largest softmax weight, log-sum-exp and entropy."""
-    terms = with_softmax_terms(queries, keys, layout, softcap)
+    terms = softmax_terms(causal_pairs(queries, keys, layout, softcap))
     lse = F.col("shift") + F.log("total")
     return terms.select(
         *QUERY_ROW,
@@ -162,8 +181,12 @@ def softmax_rows(
 def softmax_weights(
     queries: DataFrame, keys: DataFrame, layout: Layout, softcap: float | None = None
 ) -> DataFrame:
-    """Every causal pair with its softmax weight, streamed out of the join."""
-    terms = with_softmax_terms(queries, keys, layout, softcap)
+    """Every causal pair with its softmax weight.
+
+    The pairs are built a second time with the figures of their row at hand,
+    which moves one row per query instead of shuffling and sorting all pairs.
+    """
+    terms = softmax_terms(causal_pairs(queries, keys, layout, softcap))
     shifted = queries.join(terms.select(*QUERY_ROW, "shift", "total"), list(QUERY_ROW))
     pairs = causal_pairs(shifted, keys, layout, softcap)
     weight = F.exp(F.col("logit") - F.col("shift")) / F.col("total")
