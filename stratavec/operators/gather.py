@@ -16,6 +16,10 @@ from stratavec.functions.vectors import head_slice, to_float32
 from stratavec.operators.heads import attach_heads
 
 
+# vectors broadcast for frequent tokens: 1000 of 128 floats are half a megabyte
+HOT_LIMIT = 1000
+
+
 def token_vector_id(n_vectors: int) -> Column:
     """Row of the vector table for (token, layer, kind)."""
     text = F.concat_ws("|", "token_str", F.col("layer").cast("string"), "kind")
@@ -30,21 +34,51 @@ class LookupEncoder:
     The join picks its side by size: Spark broadcasts the table only below
     ``spark.sql.autoBroadcastJoinThreshold``; a larger one is joined by shuffle,
     where AQE splits the partitions of frequent tokens.
+
+    Without AQE, or to save it the work, ``hot`` may name up to ``HOT_LIMIT``
+    frequent vector ids (see ``frequent_vector_ids``).  Their vectors are
+    broadcast and their rows are spread evenly instead of by id.  The result is
+    the same for any choice of ids.
     """
 
     vectors: DataFrame
     n_vectors: int
+    hot: DataFrame | None = None
 
     @classmethod
-    def over(cls, vectors: DataFrame) -> LookupEncoder:
-        return cls(vectors, vectors.count())
+    def over(cls, vectors: DataFrame, hot: DataFrame | None = None) -> LookupEncoder:
+        return cls(vectors, vectors.count(), hot)
 
     def encode(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("vec_id", token_vector_id(self.n_vectors)).join(
-            self.vectors.select("vec_id", F.col("embedding").alias("flat")), "vec_id"
+        keyed = rows.withColumn("vec_id", token_vector_id(self.n_vectors))
+        source = self.vectors.select("vec_id", F.col("embedding").alias("flat"))
+        if self.hot is None:
+            return keyed.join(source, "vec_id")
+        ids = self.hot.select("vec_id").distinct().limit(HOT_LIMIT)
+        hot = source.join(ids, "vec_id").withColumnRenamed("flat", "_hot")
+        # rows that have their vector get a negative key, which matches nothing
+        spot = F.pmod(F.xxhash64("example_id", "layer", "kind", "position"), F.lit(1 << 30))
+        key = F.when(F.col("_hot").isNull(), F.col("vec_id")).otherwise(-F.lit(1) - spot)
+        return (
+            keyed.join(F.broadcast(hot), "vec_id", "left")
+            .withColumn("_key", key)
+            .join(source.withColumnRenamed("vec_id", "_key"), "_key", "left")
+            .withColumn("flat", F.coalesce("_hot", "flat"))
+            .drop("_hot", "_key")
         )
 
 
+def frequent_vector_ids(sample: DataFrame, n_vectors: int, limit: int = HOT_LIMIT) -> DataFrame:
+    """The most frequent vector ids among the sampled tokens of some texts."""
+    return (
+        sample.groupBy(token_vector_id(n_vectors).alias("vec_id"))
+        .count()
+        .orderBy(F.col("count").desc(), "vec_id")
+        .limit(limit)
+        .select("vec_id")
+    )
+
+
 @dataclass
 class BatchEncoder:
     """Encoder around a Python model, called once per Arrow batch of rows.

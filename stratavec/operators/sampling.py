@@ -38,7 +38,12 @@ class Strategy:
     def keep(self, draw: Column, position: Column) -> Column | None:
         """Condition on the draw, or None if every position is kept."""
         if self.name == "log_uniform":
-            return draw < buckets.log_keep_probability(self.bucket(position), self.base_rate)
+            # the smallest bucket has the largest probability: this cheap bound
+            # drops most positions before their bucket is worked out
+            smallest = 1 << buckets.floor_power(self.bucket_size)
+            bound = draw < F.lit(buckets.uniform_keep_probability(smallest, self.base_rate))
+            probability = buckets.log_keep_probability(self.bucket(position), self.base_rate)
+            return bound & (draw < probability)
         if self.name == "uniform":
             return draw < F.lit(buckets.uniform_keep_probability(self.bucket_size, self.base_rate))
         return None

@@ -25,7 +25,7 @@ from stratavec.plans.capture import (
     sampled_tokens,
     strategy_of,
 )
-from stratavec.session import scratch_path
+from stratavec.session import scratch_path, spread
 from stratavec.sources import catalogue, corpus
 from stratavec.streaming import live
 
@@ -397,7 +397,7 @@ def model_configs(spark: SparkSession, folder: str) -> DataFrame:
         '"num_hidden_layers": %d, "num_attention_heads": %d, '
         '"num_key_value_heads": %d, "layer_types": [%s]'
     )
-    rows = table(spark, folder, "part").select(
+    rows = spread(table(spark, folder, "part").select("p_partkey", "p_size")).select(
         F.col("p_partkey").alias("model"),
         (F.lit(3) + F.col("p_size") % 6).alias("layers"),
         (F.lit(1) + F.col("p_partkey") % 3).alias("k_heads"),

@@ -244,3 +244,15 @@ def test_dot_matches_numpy(spark):
     frame = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<float>, b array<float>")
     got = frame.select(dot(F.col("a"), F.col("b"), 128)).first()[0]
     assert got == pytest.approx(float(a.astype("float64") @ b.astype("float64")))
+
+
+def test_hot_vectors_change_nothing(spark, small):
+    sampled = Q.token_strings(spark, small)
+    plain = Q.encoder(spark, small)
+    for limit in (1, 50):
+        ids = gather.frequent_vector_ids(sampled, plain.n_vectors, limit)
+        assert ids.count() == limit
+        hot = gather.LookupEncoder(plain.vectors, plain.n_vectors, ids).encode(sampled)
+        columns = ["example_id", "layer", "kind", "position", "vec_id", F.col("flat")[5]]
+        assert as_set(hot.select(*columns)) == as_set(plain.encode(sampled).select(*columns))
+        assert hot.count() == sampled.count()
