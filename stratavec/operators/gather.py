@@ -116,11 +116,10 @@ def split_heads(rows: DataFrame, n_heads: int, head_dim: int, flat: str = "flat"
 
 def head_vectors(encoded: DataFrame, layout: Layout, selected: DataFrame | None = None) -> DataFrame:
     """Vector of every active head of every encoded row, as float32."""
-    rows = attach_heads(encoded, layout)
-    if selected is not None:
-        rows = rows.join(
-            selected.select("layer", "head", "kind"), ["layer", "head", "kind"], "left_semi"
-        )
+    if selected is None:
+        rows = attach_heads(encoded, layout)
+    else:
+        rows = encoded.join(selected.select("layer", "head", "kind"), ["layer", "kind"])
     vector = head_slice(F.col("flat"), F.col("head"), layout.head_dim)
     return rows.withColumn("vector", to_float32(vector)).drop("flat")
 
@@ -131,16 +130,19 @@ def gather_vectors(
     on: tuple[str, ...] = ("example_id", "layer", "kind", "position"),
     selected: DataFrame | None = None,
 ) -> DataFrame:
-    """Vectors of the sampled positions only, from a table with a row per head.
+    """Vectors of the active heads at the sampled positions only.
 
-    The vector table is restricted to the selected heads before it is joined.
+    ``vectors`` has a row per head.  Heads that are not selected are left out
+    before the join: on the vector side if it knows its layer, otherwise by
+    giving each sampled row just the active heads of its layer and kind.
     """
-    source = vectors
-    if selected is not None:
-        source = source.join(
-            selected.select("layer", "head", "kind"), ["layer", "head", "kind"], "left_semi"
-        )
-    return sampled.join(source, list(on))
+    if selected is None:
+        return sampled.join(vectors, list(on))
+    chosen = selected.select("layer", "head", "kind")
+    if {"layer", "head", "kind"} <= set(vectors.columns):
+        source = vectors.join(chosen, ["layer", "head", "kind"], "left_semi")
+        return sampled.join(source, list(on))
+    return sampled.join(chosen, ["layer", "kind"]).join(vectors, [*on, "head"])
 
 
 def window_of_layer(layout: Layout) -> Column:

@@ -97,8 +97,13 @@ def capture(
     """Scan, tokenise, sample, encode, split into heads.
 
     Vectors are joined after sampling, so the join has the size of the sample.
+    With ``selected(layer, head, kind)``, layers and kinds without a selected
+    head are dropped before they are encoded.
     """
-    encoded = encoder.encode(sampled_tokens(corpus, settings, tokenizer))
+    sampled = sampled_tokens(corpus, settings, tokenizer)
+    if selected is not None:
+        sampled = sampled.join(selected.select("layer", "kind"), ["layer", "kind"], "left_semi")
+    encoded = encoder.encode(sampled)
     rows = head_vectors(encoded, settings.layout, selected)
     rows = filter_layers_heads(rows, settings.layout, None, settings.heads, settings.kinds)
     return rows.select(

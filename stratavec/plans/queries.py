@@ -561,8 +561,9 @@ def gather_vectors(spark, folder):
         )
         for kind in D.KINDS
     ]
-    rows = gather.gather_vectors(sampled, gather.merge_batches(*by_kind), ("vec_id", "kind"))
-    rows = heads.filter_selected_heads(rows, default_selection(spark))
+    rows = gather.gather_vectors(
+        sampled, gather.merge_batches(*by_kind), ("vec_id", "kind"), default_selection(spark)
+    )
     return rows.select(*VECTOR_KEY, *digest("vector"))
 
 

@@ -256,3 +256,12 @@ def test_hot_vectors_change_nothing(spark, small):
         columns = ["example_id", "layer", "kind", "position", "vec_id", F.col("flat")[5]]
         assert as_set(hot.select(*columns)) == as_set(plain.encode(sampled).select(*columns))
         assert hot.count() == sampled.count()
+
+
+def test_selection_before_encoding_equals_filter_after(spark, small):
+    selected = Q.default_selection(spark)
+    columns = ["example_id", "config", "position", "token_str", F.col("vector")[3]]
+    early = capture(Q.documents(spark, small), D.SETTINGS, Q.encoder(spark, small), selected)
+    late = heads.filter_selected_heads(Q.captured(spark, small), selected)
+    assert as_set(early.select(*columns)) == as_set(late.select(*columns))
+    assert early.count() == late.count() > 0
