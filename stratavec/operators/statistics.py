@@ -86,6 +86,32 @@ def dataset_card_stats(capture: DataFrame, branch: str = "branch") -> DataFrame:
     return configs.join(bucket_line(counts, branch), branch)
 
 
+def dataset_card(capture: DataFrame, manifest: DataFrame) -> DataFrame:
+    """All fields of the dataset card, one row per branch."""
+    runs = manifest.groupBy("branch").agg(
+        F.first("model_name").alias("model"), F.first("metadata").alias("_m")
+    )
+    entry = lambda key, default=None: (
+        F.coalesce(F.col("_m")[key], F.lit(default)) if default is not None else F.col("_m")[key]
+    )
+    size = lambda key: F.when(entry(key).isNotNull(), plain_number(entry(key)))
+    return dataset_card_stats(capture).join(
+        runs.select(
+            "branch",
+            "model",
+            entry("source_dataset", "unknown").alias("source_dataset"),
+            entry("dataset_name", "").alias("dataset_name"),
+            entry("dataset_split", "unknown").alias("dataset_split"),
+            entry("attention_scope", "unknown").alias("attention_scope"),
+            entry("sampling_strategy", "unknown").alias("sampling_strategy"),
+            size("sampling_min_bucket_size").alias("min_bucket_size"),
+            size("sampling_bucket_size").alias("bucket_size"),
+            plain_number(entry("distributed_world_size")).alias("world_size"),
+        ),
+        "branch",
+    )
+
+
 def capture_counters(capture: DataFrame) -> DataFrame:
     """Captured rows, payloads (one per example, layer and kind) and configs."""
     payload = F.struct("example_id", "layer", "kind")

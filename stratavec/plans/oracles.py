@@ -500,7 +500,11 @@ _TEXTS: dict[str, str] = {
     ),
     "list_configs": "SELECT DISTINCT config, layer, head, kind FROM cap",
     "dataset_card_stats": (
-        "SELECT branch, n_configs, config_list, bucket_line, n_rows FROM "
+        "SELECT branch, n_configs, config_list, bucket_line, n_rows, 'model-a' AS model, "
+        "'unknown' AS source_dataset, '' AS dataset_name, 'all' AS dataset_split, "
+        "'all_attention' AS attention_scope, branch AS sampling_strategy, "
+        "CASE WHEN branch = 'log' THEN '64' END AS min_bucket_size, "
+        "CASE WHEN branch = 'uniform' THEN '64' END AS bucket_size, '2' AS world_size FROM "
         "(SELECT branch, count(*) AS n_configs, string_agg(config, ', ' ORDER BY config) AS config_list FROM "
         "(SELECT DISTINCT branch, config FROM branched) GROUP BY 1) JOIN "
         "(SELECT branch, string_agg('b' || bucket || '=' || n, ', ' ORDER BY bucket) AS bucket_line, sum(n)::BIGINT AS n_rows FROM "

@@ -848,10 +848,27 @@ def _branches(spark, folder):
     return root
 
 
+def _runs(spark, folder):
+    root = scratch_path(spark, "run")
+    for branch, settings in (("uniform", D.SETTINGS), ("log", LOG_SETTINGS)):
+        run.run_capture(
+            documents(spark, folder),
+            settings,
+            encoder(spark, folder),
+            root=root,
+            branch=branch,
+            model_name="model-a",
+            metadata={"dataset_split": "all", "distributed_world_size": 2.0},
+        )
+    return root
+
+
 @register
 def dataset_card_stats(spark, folder):
-    rows = catalogue.read_branches(spark, _branches(spark, folder))
-    return statistics.dataset_card_stats(rows)
+    root = _runs(spark, folder)
+    return statistics.dataset_card(
+        catalogue.read_branches(spark, root), run.read_manifest(spark, root)
+    )
 
 
 def run_settings(spark: SparkSession, folder: str) -> DataFrame:
@@ -925,18 +942,7 @@ def capture_counters(spark, folder):
 
 @register
 def capture_run(spark, folder):
-    root = scratch_path(spark, "run")
-    for branch, settings in (("uniform", D.SETTINGS), ("log", LOG_SETTINGS)):
-        run.run_capture(
-            documents(spark, folder),
-            settings,
-            encoder(spark, folder),
-            root=root,
-            branch=branch,
-            model_name="model-a",
-            metadata={"dataset_split": "all"},
-        )
-    manifest = run.read_manifest(spark, root)
+    manifest = run.read_manifest(spark, _runs(spark, folder))
     return manifest.select(
         "branch",
         "model_name",

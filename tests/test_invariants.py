@@ -8,6 +8,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,13 @@ from stratavec import defaults as D
 from stratavec.functions.vectors import dot
 from stratavec.operators import attention, gather, heads, runs, sampling
 from stratavec.plans import queries as Q
-from stratavec.plans.capture import capture, groups_of, sampled_positions, strategy_of
+from stratavec.plans.capture import (
+    capture,
+    groups_of,
+    sampled_positions,
+    sampled_tokens,
+    strategy_of,
+)
 from stratavec.sources import corpus
 from stratavec.streaming import live
 from stratavec.session import scratch_path
@@ -265,3 +272,20 @@ def test_selection_before_encoding_equals_filter_after(spark, small):
     late = heads.filter_selected_heads(Q.captured(spark, small), selected)
     assert as_set(early.select(*columns)) == as_set(late.select(*columns))
     assert early.count() == late.count() > 0
+
+
+def test_python_tokenizer_runs_once_per_text(spark, small):
+    """Any column function that gives tokens can replace the default."""
+
+    @F.pandas_udf("array<string>")
+    def halves(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w[i : i + 4] for w in t.split() for i in range(0, len(w), 4)])
+
+    documents = Q.documents(spark, small)
+    rows = sampled_tokens(documents, replace(D.SETTINGS, strategy="all", layers=(0,)), halves)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    texts = {r.example_id: r.text for r in documents.collect()}
+    expected = sum(len(w[i : i + 4]) > 0 for t in texts.values() for w in t.split() for i in range(0, len(w), 4))
+    assert rows.filter("kind = 'q'").count() == expected
+    assert rows.filter("length(token_str) > 4").count() == 0
