@@ -16,7 +16,16 @@ from pyspark.sql import functions as F
 from stratavec import defaults as D
 from stratavec.functions import buckets, ids, vectors
 from stratavec.functions.naming import config_name
-from stratavec.operators import attention, gather, heads, runs, sampling, statistics, tokens
+from stratavec.operators import (
+    attention,
+    gather,
+    heads,
+    rotary,
+    runs,
+    sampling,
+    statistics,
+    tokens,
+)
 from stratavec.plans import run
 from stratavec.plans.capture import (
     capture,
@@ -644,24 +653,21 @@ def rotate_interleaved_partial(spark, folder):
 
 @register
 def rotate_by_layer_type(spark, folder):
-    dim = D.LAYOUT.head_dim
-    rows = captured(spark, folder).drop("sliding_window").join(layer_table(spark), "layer")
-    turned = vectors.rotate_halves(F.col("vector"), F.col("position"), dim, F.col("rope_theta"))
-    out = F.when(F.col("use_rope"), turned).otherwise(F.col("vector").cast("array<double>"))
-    return rows.select(*VECTOR_KEY, out.alias("out")).select(*VECTOR_KEY, *digest("out"))
+    rows = rotary.rotate_capture(captured(spark, folder), layer_table(spark), D.LAYOUT)
+    return rows.select(*VECTOR_KEY, *digest("vector"))
 
 
 @register
 def query_position_scale(spark, folder):
-    dim = D.LAYOUT.head_dim
-    rows = heads.filter_kind(captured(spark, folder), keys=False)
-    turned = rows.withColumn(
-        "turned", vectors.rotate_halves(F.col("vector"), F.col("position"), dim, D.ROPE_THETA)
-    )
-    scale = vectors.query_scale(F.col("position"), D.QUERY_SCALE_BETA, D.QUERY_SCALE_LENGTH)
-    return turned.select(
-        *VECTOR_KEY, vectors.scale_vector(F.col("turned"), scale, dim).alias("out")
-    ).select(*VECTOR_KEY, *digest("out"))
+    """After rotation with one base for all layers; queries only are returned."""
+    layers = layer_table(spark).select(
+        "layer", F.lit(D.ROPE_THETA).alias("rope_theta"), F.lit(True).alias("use_rope")
+    )
+    rows = rotary.rotate_capture(
+        heads.filter_kind(captured(spark, folder), keys=False), layers, D.LAYOUT
+    )
+    scaled = rotary.scale_queries(rows, D.LAYOUT, D.QUERY_SCALE_BETA, D.QUERY_SCALE_LENGTH)
+    return scaled.select(*VECTOR_KEY, *digest("vector"))
 
 
 @register

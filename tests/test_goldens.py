@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stratavec.defaults import FULL, SLIDING, Layout
 from stratavec.functions import buckets, ids, naming, vectors
-from stratavec.operators import attention, gather, heads, sampling, statistics, tokens
+from stratavec.operators import attention, gather, heads, rotary, sampling, statistics, tokens
 from stratavec.sources import corpus
 
 
@@ -327,3 +327,41 @@ def test_take_beyond_the_topk_limit(spark, monkeypatch):
     monkeypatch.setattr(corpus, "TOPK_LIMIT", 5)
     frame = spark.range(100).withColumnRenamed("id", "key").repartition(4)
     assert {r.key for r in corpus.corpus_take(frame, "key", 30).collect()} == set(range(30))
+
+
+def test_rotary_capture(spark):
+    """Layer 0 rotates, layer 1 does not; only queries are scaled."""
+    capture = spark.createDataFrame(
+        [(layer, kind, 4, [1.0, 0.0]) for layer in (0, 1) for kind in ("q", "k")],
+        "layer int, kind string, position int, vector array<float>",
+    )
+    layers = spark.createDataFrame(
+        [(0, 10000.0, True), (1, 10000.0, False)], "layer int, rope_theta double, use_rope boolean"
+    )
+    layout = Layout(q_heads=1, k_heads=1, head_dim=2, layer_types=(FULL, FULL))
+    for rotary_dim in (None, 2):  # one pair only: both pairings agree
+        turned = rotary.rotate_capture(capture, layers, layout, rotary_dim)
+        scaled = rotary.scale_queries(turned, layout, 0.5, 2)
+        got = {(r.layer, r.kind): list(r.vector) for r in scaled.collect()}
+        factor = 1 + 0.5 * math.log(3)
+        turn = [math.cos(4), math.sin(4)]
+        assert got[(0, "k")] == pytest.approx(turn)
+        assert got[(0, "q")] == pytest.approx([factor * x for x in turn])
+        assert got[(1, "k")] == [1.0, 0.0]
+        assert got[(1, "q")] == pytest.approx([factor, 0.0])
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "orc", "csv", "table"])
+def test_corpus_formats(spark, tmp_path, fmt):
+    texts = [(1, "a b"), (2, "c"), (3, "")]
+    frame = spark.createDataFrame(texts, "name int, body string")
+    path = str(tmp_path / "corpus")
+    if fmt == "table":
+        path = "corpus_view"
+        frame.createOrReplaceTempView(path)
+    else:
+        frame.write.format(fmt).option("emptyValue", "").save(path)
+    schema = "name int, body string" if fmt in ("json", "csv") else None
+    rows = corpus.scan_corpus(spark, path, "name", "body", fmt, schema=schema)
+    assert rows.columns == ["example_id", "text"]
+    assert sorted((r.example_id, r.text or "") for r in rows.collect()) == texts
