@@ -31,10 +31,10 @@ def rotate_capture(
     )
 
 
-def scale_queries(capture: DataFrame, layout: Layout, beta: float, max_position: int) -> DataFrame:
+def scale_queries(capture: DataFrame, beta: float, max_position: int) -> DataFrame:
     """Position-dependent scale of rotated query vectors; keys pass unchanged."""
     scale = query_scale(F.col("position"), beta, max_position)
-    scaled = scale_vector(F.col("vector"), scale, layout.head_dim)
+    scaled = scale_vector(F.col("vector"), scale)
     return capture.withColumn(
         "vector",
         F.when(F.col("kind") == "q", scaled).otherwise(F.col("vector").cast("array<double>")),

@@ -85,9 +85,8 @@ def r4(value: Column) -> Column:
 def digest(vector: str, dim: int = D.LAYOUT.head_dim) -> list[Column]:
     """Three numbers that change if an entry of the vector changes or moves."""
     item = lambda i: F.col(vector).getItem(i).cast("double")
-    weighted = item(0)
-    for i in range(1, dim):
-        weighted = weighted + item(i) * F.lit(float(i + 1))
+    terms = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    weighted = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
     return [
         r4(item(0)).alias("first_value"),
         r4(item(dim - 1)).alias("last_value"),
@@ -666,7 +665,7 @@ def query_position_scale(spark, folder):
     rows = rotary.rotate_capture(
         heads.filter_kind(captured(spark, folder), keys=False), layers, D.LAYOUT
     )
-    scaled = rotary.scale_queries(rows, D.LAYOUT, D.QUERY_SCALE_BETA, D.QUERY_SCALE_LENGTH)
+    scaled = rotary.scale_queries(rows, D.QUERY_SCALE_BETA, D.QUERY_SCALE_LENGTH)
     return scaled.select(*VECTOR_KEY, *digest("vector"))
 
 

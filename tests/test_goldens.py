@@ -250,6 +250,19 @@ def test_rotations_keep_length_and_match_formula(spark):
     )
 
 
+def test_both_ways_to_rotate_agree(spark):
+    """Fixed base written out, base from a column as a loop over the entries."""
+    items = [float((7 * i) % 11 - 5) for i in range(16)]
+    frame = one_vector(spark, items).withColumn("theta", F.lit(10000.0) + F.rand() * 0)
+    for fixed, looped in (
+        [vectors.rotate_halves(F.col("v"), F.col("position"), 16, t) for t in (10000.0, F.col("theta"))],
+        [vectors.rotate_pairs(F.col("v"), F.col("position"), 16, 8, t) for t in (10000.0, F.col("theta"))],
+    ):
+        a, b = frame.select(fixed, looped).first()
+        assert a == pytest.approx(b)
+        assert sum(x * x for x in a) == pytest.approx(sum(x * x for x in items))
+
+
 def test_vector_formulas(spark):
     frame = one_vector(spark, [3, 4])
     norm, plus, scale, cap = frame.select(
@@ -341,7 +354,7 @@ def test_rotary_capture(spark):
     layout = Layout(q_heads=1, k_heads=1, head_dim=2, layer_types=(FULL, FULL))
     for rotary_dim in (None, 2):  # one pair only: both pairings agree
         turned = rotary.rotate_capture(capture, layers, layout, rotary_dim)
-        scaled = rotary.scale_queries(turned, layout, 0.5, 2)
+        scaled = rotary.scale_queries(turned, 0.5, 2)
         got = {(r.layer, r.kind): list(r.vector) for r in scaled.collect()}
         factor = 1 + 0.5 * math.log(3)
         turn = [math.cos(4), math.sin(4)]
