@@ -20,6 +20,8 @@ their text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ from stratavec.llm.common import stored
 WINDOW = 3
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _with_lines(text: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(lines)`` with the text split once: inside a lambda function an
+    expression is worked out again for every element, a variable is not."""
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), build), 0)
 
 
 def _windows(lines: Column) -> Column:
@@ -53,7 +57,7 @@ def window_table(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id",
         F.xxhash64("text").alias("copy"),
-        F.explode(_windows(_lines(F.col("text")))).alias("w"),
+        F.explode(_with_lines(F.col("text"), _windows)).alias("w"),
     )
     return rows.filter("w.visible > 0").select("doc_id", "copy", "w.pos", "w.h1", "w.h2")
 
@@ -88,14 +92,16 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         (F.col("_hash") == F.col("_copy")) & F.col("doc_id").eqNullSafe(F.col("_id")),
         "left",
     )
-    lines = _lines(F.col("text"))
     removed = F.flatten(
         F.transform("_pos", lambda p: F.transform(F.array(*map(F.lit, range(WINDOW))), lambda k: p + k))
     )
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    shortened = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    n_removed = F.when(F.col("_pos").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), removed)
+    shortened = _with_lines(
+        F.col("text"),
+        lambda lines: F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"),
+    )
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
+    n_removed = F.when(F.col("_pos").isNull(), 0).otherwise(F.size(F.array_distinct(removed)))
     return (
         joined.withColumn("_n_lines", n_lines)
         .withColumn("_n_removed", n_removed)
