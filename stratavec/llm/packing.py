@@ -206,40 +206,55 @@ def bin_completion(
     bound = -(-total // capacity)
     best = best_fit(counts, capacity)
     best_bins = sum(k for _, k in best)
-    # (counts, patterns so far, sequences, waste)
-    stack: list[tuple[dict[int, int], list, int, int]] = [(counts, [], 0, 0)]
-    while stack and nodes and best_bins > bound:
-        nodes -= 1
-        left, used, number, waste = stack.pop()
-        if not left:
-            if number < best_bins:
-                best, best_bins = used, number
+    left, used = dict(counts), []  # what is not packed yet; patterns in use
+    number = waste = 0
+
+    def change(pattern: Pattern, times: int, sign: int) -> None:
+        nonlocal number, waste
+        for n, k in pattern:
+            left[n] = left.get(n, 0) - sign * times * k
+            if not left[n]:
+                del left[n]
+        number += sign * times
+        waste += sign * times * (capacity - sum(n * k for n, k in pattern))
+
+    # one list of untried patterns per depth, the best one last
+    open_nodes = [_completions(left, capacity)] if left else []
+    while open_nodes and nodes and best_bins > bound:
+        if not open_nodes[-1]:
+            open_nodes.pop()
+            if used:
+                change(*used.pop(), -1)
             continue
-        if waste > (best_bins - 1) * capacity - total:
+        nodes -= 1
+        pattern = open_nodes[-1].pop()
+        times = min(left[n] // k for n, k in pattern)
+        change(pattern, times, 1)
+        used.append((pattern, times))
+        if left and waste <= (best_bins - 1) * capacity - total:
+            open_nodes.append(_completions(left, capacity))
             continue
-        lengths = sorted(left, reverse=True)
-        largest = lengths[0]
-        after = {**left, largest: left[largest] - 1}
-        rest = [n for n in lengths if after[n]]
-        for pattern in reversed(fillings(capacity - largest, after, rest)):
-            items: dict[int, int] = {largest: 1}
-            for n, k in pattern:
-                items[n] = items.get(n, 0) + k
-            times = min(left[n] // k for n, k in items.items())
-            now = {n: left[n] - times * items.get(n, 0) for n in left}
-            full = tuple(sorted(items.items(), reverse=True))
-            lost = capacity - sum(n * k for n, k in full)
-            stack.append(
-                (
-                    {n: c for n, c in now.items() if c},
-                    [*used, (full, times)],
-                    number + times,
-                    waste + times * lost,
-                )
-            )
+        if not left and number < best_bins:
+            best, best_bins = list(used), number
+        change(*used.pop(), -1)
     return best
 
 
+def _completions(left: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns around the largest length left, the best filled last."""
+    lengths = sorted(left, reverse=True)
+    largest = lengths[0]
+    after = {**left, largest: left[largest] - 1}
+    rest = [n for n in lengths if after[n]]
+    out = []
+    for filling in reversed(fillings(capacity - largest, after, rest)):
+        items = {largest: 1}
+        for n, k in filling:
+            items[n] = items.get(n, 0) + k
+        out.append(tuple(sorted(items.items(), reverse=True)))
+    return out
+
+
 @dataclass(frozen=True)
 class Plan:
     """Where the pieces of each length go: sorted arrays, one entry per use of a
