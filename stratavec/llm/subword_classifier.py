@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 FOLDS = 3
 HELD_OUT_FOLD = 1
 # bound of the training sample, and of the bytes of one training text's buckets
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 BUCKETS = 1 << 16
 DIMENSION = 16
 GRAMS = (3, 4)
@@ -150,6 +150,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     for _ in range(EPOCHS):
         for k in generator.permutation(len(rows)):
             label, buckets, counts = rows[k]
+            buckets = buckets.astype(np.int64)
             rate = RATE * (1 - step / total_steps)
             step += 1
             weights = counts / counts.sum() if len(counts) else counts
@@ -194,17 +195,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         .select("doc_id", "label", _features(F.col("text")).alias("f"))
         .select("doc_id", "label", "f.b", "f.c")
         .toArrow()
-        .sort_by([("doc_id", "ascending"), ("b", "ascending")])
     )
+    order = sorted(
+        range(len(rows)), key=lambda i: (rows["doc_id"][i].as_py(), rows["b"][i].as_py())
+    )
+    # views of the received buffers, not copies
     examples = [
         (
-            label,
-            np.frombuffer(b, dtype=np.uint16).astype(np.int64),
-            np.frombuffer(c, dtype=np.float32),
-        )
-        for label, b, c in zip(
-            rows["label"].to_pylist(), rows["b"].to_pylist(), rows["c"].to_pylist()
+            rows["label"][i].as_py(),
+            np.frombuffer(rows["b"][i].as_buffer(), dtype=np.uint16),
+            np.frombuffer(rows["c"][i].as_buffer(), dtype=np.float32),
         )
+        for i in order
     ]
     return train(examples)
 
