@@ -25,6 +25,9 @@ HEADLINE = (
     "token_strings",
     "gather_vectors",
     "rotate_half_split",
+    "rotate_by_layer_type",
+    "query_position_scale",
+    "batch_encode",
     "attention_logits",
     "attention_softmax",
     "sliding_window_pairs",

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Sequences longer than this are cut.  131072 tokens is the usual production
-# length; no text of the test tables is longer, so nothing is lost there.
-MAX_LENGTH = 131072
 # Cut used where the cut itself is what is shown (tokenize_truncate, valid_lengths).
 SHORT_LENGTH = 4096
 
@@ -54,7 +51,7 @@ class CaptureSettings:
     base_rate: float = 1.0
     bucket_size: int = 64
     seed: int = 0
-    max_length: int = MAX_LENGTH
+    max_length: int | None = None  # sequences are cut only if asked for
     max_rows: int | None = None
     layers: tuple[int, ...] | None = None
     heads: tuple[int, ...] | None = None

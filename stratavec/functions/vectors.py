@@ -1,9 +1,11 @@
 """Vector arithmetic on fixed-width arrays.
 
-Products of narrow vectors are written out, which keeps them inside generated
-code.  Written out for wide vectors they make a method too long for the JVM to
-compile, and everything fused with it then runs interpreted: at 64 entries that
-was three times slower than the higher-order functions used here instead.
+A vector that does not have the stated width is an error in every function here,
+however wide it is; a null vector gives null.
+
+Products and rotations of narrow vectors are written out, which keeps them inside
+generated code.  Written out for wide vectors they make a method too long for the
+JVM to compile, so wide ones use higher-order functions; results are the same.
 """
 
 from __future__ import annotations
@@ -15,21 +17,20 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# widest vector whose product is written out
+# widest vector whose arithmetic is written out
 UNROLL_LIMIT = 16
 
 
-def _item(vector: Column, i: int) -> Column:
-    return vector.getItem(i).cast("double")
-
-
-def _entries(dim: int, entry: Callable[[Column], Column]) -> Column:
-    """Array of ``entry(i)`` for i in 0 .. dim - 1."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), entry)
+def of_width(vector: Column, dim: int, value: Column, kind: str) -> Column:
+    """``value``, of SQL type ``kind``, if the vector has ``dim`` entries."""
+    wrong = F.raise_error(
+        F.concat(F.lit(f"vector of {dim} entries expected, got "), F.size(vector).cast("string"))
+    ).cast(kind)
+    return F.when(F.size(vector) == dim, value).when(vector.isNotNull(), wrong)
 
 
-def _at(vector: Column, i: Column) -> Column:
-    return F.get(vector, i).cast("double")
+def _item(vector: Column, i: int) -> Column:
+    return vector.getItem(i).cast("double")
 
 
 def _with_value(value: Column, build: Callable[[Column], Column]) -> Column:
@@ -37,88 +38,100 @@ def _with_value(value: Column, build: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(F.array(value), build))
 
 
-def head_slice(flat: Column, head: Column, head_dim: int) -> Column:
-    """One head of a flat projection."""
-    return F.slice(flat, head * F.lit(head_dim) + F.lit(1), F.lit(head_dim))
+def head_slice(flat: Column, head: Column, head_dim: int, n_heads: int | Column) -> Column:
+    """One head of a flat projection of exactly ``n_heads`` heads."""
+    width = (n_heads if isinstance(n_heads, Column) else F.lit(n_heads)) * F.lit(head_dim)
+    wrong = F.raise_error(
+        F.concat(
+            F.lit("flat vector of "), width.cast("string"), F.lit(" entries expected, got "),
+            F.size(flat).cast("string"),
+        )
+    )
+    start = F.when(F.size(flat) == width, head * F.lit(head_dim) + F.lit(1)).when(
+        flat.isNotNull(), wrong.cast("int")
+    )
+    return F.slice(flat, start, F.lit(head_dim))
 
 
 def dot(left: Column, right: Column, dim: int) -> Column:
     if dim <= UNROLL_LIMIT:
-        return reduce(add, [_item(left, i) * _item(right, i) for i in range(dim)])
-    products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
-def l2_norm(vector: Column, dim: int) -> Column:
-    return F.sqrt(dot(vector, vector, dim))
+        product = reduce(add, [_item(left, i) * _item(right, i) for i in range(dim)])
+    else:
+        products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
+        product = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    return of_width(left, dim, of_width(right, dim, product, "double"), "double")
 
 
 def to_float32(vector: Column) -> Column:
     return vector.cast("array<float>")
 
 
-def _angle(position: Column, i: Column, dim: int, theta: Column | float) -> Column:
-    base = theta if isinstance(theta, Column) else F.lit(float(theta))
-    return position.cast("double") * F.pow(base, F.lit(-2.0) * i / F.lit(dim))
+def frequencies(dim: int, theta: Column | float) -> Column:
+    """Angle per position of each pair of a rotation of ``dim`` entries."""
+    if isinstance(theta, Column):
+        power = lambda i: F.pow(theta, F.lit(-2.0) * i / F.lit(dim))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim // 2 - 1)), power)
+    return F.array(*[F.lit(float(theta) ** (-2.0 * i / dim)) for i in range(dim // 2)])
 
 
-def _written_out(dim: int, theta: Column | float) -> bool:
-    """A fixed base lets the frequencies fold to constants, which keeps it short."""
-    return dim <= UNROLL_LIMIT and not isinstance(theta, Column)
-
-
-def _turn(left: Column, right: Column, angle: Column) -> tuple[Column, Column]:
-    return (
-        left * F.cos(angle) - right * F.sin(angle),
-        right * F.cos(angle) + left * F.sin(angle),
+def _turned(position: Column, rates: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(turns)``: sine and cosine worked out once per pair of entries."""
+    turns = F.transform(
+        rates,
+        lambda rate: F.struct(
+            F.cos(position.cast("double") * rate).alias("c"),
+            F.sin(position.cast("double") * rate).alias("s"),
+        ),
     )
+    return _with_value(turns, build)
 
 
 def rotate_halves(vector: Column, position: Column, dim: int, theta: Column | float) -> Column:
     """Rotary transform where entry i is paired with entry i + dim/2."""
+    return rotate_halves_by(vector, position, dim, frequencies(dim, theta))
+
+
+def rotate_halves_by(vector: Column, position: Column, dim: int, rates: Column) -> Column:
+    """The same with the frequencies at hand, an array of ``dim / 2``."""
     half = dim // 2
-    if _written_out(dim, theta):
-        turned = [
-            _turn(
-                _item(vector, i),
-                _item(vector, i + half),
-                _angle(position, F.lit(i), dim, theta),
-            )
-            for i in range(half)
-        ]
-        return F.array(*[low for low, _ in turned], *[high for _, high in turned])
+    low = lambda v, t: v[0] * t["c"] - v[1] * t["s"]
+    high = lambda v, t: v[1] * t["c"] + v[0] * t["s"]
 
-    def entry(i: Column) -> Column:
-        angle = _angle(position, i % half, dim, theta)
-        partner = F.when(i < half, -_at(vector, i + half)).otherwise(_at(vector, i - half))
-        return _at(vector, i) * F.cos(angle) + partner * F.sin(angle)
+    def build(turns: Column) -> Column:
+        pairs = F.arrays_zip(
+            F.slice(vector, 1, half).cast("array<double>").alias("a"),
+            F.slice(vector, half + 1, half).cast("array<double>").alias("b"),
+        )
+        both = lambda f: F.zip_with(pairs, turns, lambda p, t: f((p["a"], p["b"]), t))
+        return F.concat(both(low), both(high))
 
-    return _entries(dim, entry)
+    return of_width(vector, dim, _turned(position, rates, build), "array<double>")
 
 
 def rotate_pairs(
     vector: Column, position: Column, dim: int, rotary_dim: int, theta: Column | float
 ) -> Column:
     """Rotary transform of neighbours (2i, 2i+1) in the first ``rotary_dim`` entries."""
-    if _written_out(dim, theta):
-        turned = [
-            _turn(
-                _item(vector, 2 * i),
-                _item(vector, 2 * i + 1),
-                _angle(position, F.lit(i), rotary_dim, theta),
-            )
-            for i in range(rotary_dim // 2)
-        ]
-        rest = [_item(vector, i) for i in range(rotary_dim, dim)]
-        return F.array(*[x for pair in turned for x in pair], *rest)
-
-    def entry(i: Column) -> Column:
-        angle = _angle(position, F.floor(i / F.lit(2)), rotary_dim, theta)
-        partner = F.when(i % 2 == 0, -_at(vector, i + 1)).otherwise(_at(vector, i - 1))
-        turned = _at(vector, i) * F.cos(angle) + partner * F.sin(angle)
-        return F.when(i < rotary_dim, turned).otherwise(_at(vector, i))
-
-    return _entries(dim, entry)
+    return rotate_pairs_by(vector, position, dim, rotary_dim, frequencies(rotary_dim, theta))
+
+
+def rotate_pairs_by(
+    vector: Column, position: Column, dim: int, rotary_dim: int, rates: Column
+) -> Column:
+    """The same with the frequencies at hand, an array of ``rotary_dim / 2``."""
+
+    def build(turns: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(rotary_dim // 2 - 1))
+
+        def pair(i: Column, t: Column) -> Column:
+            a, b = (F.get(vector, i * 2 + k).cast("double") for k in range(2))
+            return F.array(a * t["c"] - b * t["s"], b * t["c"] + a * t["s"])
+
+        turned = F.flatten(F.zip_with(numbers, turns, pair))
+        rest = F.slice(vector, rotary_dim + 1, dim - rotary_dim).cast("array<double>")
+        return F.concat(turned, rest) if rotary_dim < dim else turned
+
+    return of_width(vector, dim, _turned(position, rates, build), "array<double>")
 
 
 def scale_vector(vector: Column, factor: Column) -> Column:
@@ -138,10 +151,11 @@ def rms_norm(
     dim = len(weights)
     inverse = F.lit(1.0) / F.sqrt(dot(vector, vector, dim) / F.lit(float(dim)) + F.lit(float(eps)))
     factors = F.lit([1.0 + w if one_plus_weight else w for w in weights])
-    return _with_value(
+    normed = _with_value(
         inverse,
         lambda scale: F.zip_with(vector, factors, lambda x, w: x.cast("double") * scale * w),
     )
+    return of_width(vector, dim, normed, "array<double>")
 
 
 def soft_cap(value: Column, cap: float) -> Column:

@@ -62,14 +62,25 @@ def causal_pairs(
 ) -> DataFrame:
     """All pairs with key position <= query position, with their logit.
 
-    Keys are cut into tiles of ``tile`` positions and a query visits the tiles
-    up to its own.  A sequence shorter than a tile is not replicated at all; a
-    long one is spread over as many join keys as it has tiles.
+    Both sides are cut into tiles of ``tile`` positions and meet per pair of
+    tiles: a query is sent to the key tiles up to its own, a key to the query
+    tiles from its own up to that of the sequence's last query.  A sequence
+    shorter than a tile is not replicated at all, and no join key of a longer one
+    holds more than the pairs of two tiles (times the query heads of a key head).
     """
+    own = ["example_id", "layer", "key_head"]
+    ends = queries.groupBy(*own).agg(F.max(_block("q_position", tile)).alias("_last"))
     visited = F.explode(F.sequence(F.lit(0), _block("q_position", tile)))
-    pairs = queries.withColumn("_block", visited).join(
-        keys.withColumn("_block", _block("k_position", tile)),
-        ["example_id", "layer", "key_head", "_block"],
+    block = _block("k_position", tile)
+    reached = F.explode(F.sequence(F.col("_block"), F.greatest("_last", "_block")))
+    sent = (
+        keys.withColumn("_block", block).join(ends, own).withColumn("_q_block", reached).drop("_last")
+    )
+    pairs = (
+        queries.withColumn("_q_block", _block("q_position", tile))
+        .withColumn("_block", visited)
+        .join(sent, [*own, "_block", "_q_block"])
+        .drop("_q_block")
     )
     return _with_logit(pairs.filter("k_position <= q_position"), layout, softcap)
 

@@ -16,7 +16,6 @@ from stratavec.defaults import SLIDING, Layout
 
 # fixed values: fields that may hold the language part of a model config
 NESTED_FIELDS = ("text_config", "language_config", "llm_config", "decoder_config")
-NESTED_DEPTH = 2
 _ENTRIES = "map<string,string>"
 
 
@@ -33,7 +32,10 @@ def _nested(level: Column) -> Column:
 
 def _layout_of(entries: Column) -> Column:
     """(layers, q heads, k heads) of one candidate, or null if it does not qualify."""
-    number = lambda field: F.element_at(entries, F.lit(field)).try_cast("int")
+    def number(field: str) -> Column:
+        value = F.element_at(entries, F.lit(field)).try_cast("double")
+        return F.when(value.between(-(2.0**31), 2.0**31 - 1), value.try_cast("int"))
+
     layers, q_heads = number("num_hidden_layers"), number("num_attention_heads")
     k_heads = F.when(
         F.map_contains_key(entries, F.lit("num_key_value_heads")), number("num_key_value_heads")
@@ -50,15 +52,26 @@ def _first_known(found: Column) -> Column:
     return F.get(F.filter(found, lambda x: x.isNotNull()), 0)
 
 
-def head_layout(models: DataFrame, config: str = "config", depth: int = NESTED_DEPTH) -> DataFrame:
+def nesting_depth(models: DataFrame, config: str = "config") -> int:
+    """No config is nested deeper than this: each level names one of the fields."""
+    names = "|".join(NESTED_FIELDS)
+    count = F.regexp_count(config, F.lit(f'"({names})"'))
+    return models.agg(F.max(count)).first()[0] or 0
+
+
+def head_layout(
+    models: DataFrame, config: str = "config", depth: int | None = None
+) -> DataFrame:
     """Adds ``num_layers``, ``q_heads``, ``k_heads`` and ``layer_types`` from a
     JSON model config.
 
     The config and its nested parts are tried breadth first.  The first one with
     usable layers and query heads wins as a whole; layer types come from the
     first whose list is long enough.  A config without layout, or with heads
-    that do not divide, is an error.
+    that do not divide, is an error.  Without ``depth`` the configs are searched
+    to their end, which takes one aggregate over them first.
     """
+    depth = nesting_depth(models, config) if depth is None else depth
     rows = models.withColumn("_level", F.array(F.from_json(config, _ENTRIES)))
     rows = rows.withColumn("_all", F.col("_level"))
     for _ in range(depth):

@@ -6,7 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavec.defaults import Layout
-from stratavec.functions.vectors import query_scale, rotate_halves, rotate_pairs, scale_vector
+from stratavec.functions.vectors import (
+    frequencies,
+    query_scale,
+    rotate_halves_by,
+    rotate_pairs_by,
+    scale_vector,
+)
+
+
+def bounded_layers(layers: DataFrame, *columns: str) -> DataFrame:
+    """These columns of a table with one row per layer, as a broadcast.
+
+    The layers of a model are few, whatever the capture; a layer with two rows is
+    an error, so rows of the capture are never doubled.
+    """
+    twice = F.raise_error(F.concat(F.lit("more than one row for layer "), F.col("layer").cast("string")))
+    # one partition, so that the check needs no shuffle
+    once = (
+        layers.select("layer", F.struct(*columns).alias("_row"))
+        .coalesce(1)
+        .groupBy("layer")
+        .agg(F.count("*").alias("_n"), F.first("_row").alias("_row"))
+        .withColumn("layer", F.when(F.col("_n") == 1, F.col("layer")).otherwise(twice.cast("int")))
+    )
+    return F.broadcast(once.select("layer", "_row.*"))
 
 
 def rotate_capture(
@@ -17,17 +41,21 @@ def rotate_capture(
     ``layers(layer, rope_theta, use_rope)`` is one row per layer; vectors of
     layers that do not rotate pass unchanged.  With ``rotary_dim`` neighbours
     are paired and only the first entries turn, otherwise halves are paired.
+    The frequencies are worked out once per layer and travel with its row.
     """
-    vector, position, theta = F.col("vector"), F.col("position"), F.col("rope_theta")
+    vector, position, rates = F.col("vector"), F.col("position"), F.col("_rates")
     if rotary_dim is None:
-        turned = rotate_halves(vector, position, layout.head_dim, theta)
+        turned = rotate_halves_by(vector, position, layout.head_dim, rates)
     else:
-        turned = rotate_pairs(vector, position, layout.head_dim, rotary_dim, theta)
+        turned = rotate_pairs_by(vector, position, layout.head_dim, rotary_dim, rates)
     out = F.when(F.col("use_rope"), turned).otherwise(vector.cast("array<double>"))
+    turns = layers.withColumn(
+        "_rates", frequencies(rotary_dim or layout.head_dim, F.col("rope_theta"))
+    )
     return (
-        capture.join(layers.select("layer", "rope_theta", "use_rope"), "layer")
+        capture.join(bounded_layers(turns, "_rates", "use_rope"), "layer")
         .withColumn("vector", out)
-        .drop("rope_theta", "use_rope")
+        .drop("_rates", "use_rope")
     )
 
 

@@ -114,11 +114,17 @@ def dataset_card(capture: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def capture_counters(capture: DataFrame) -> DataFrame:
     """Captured rows, payloads (one per example, layer and kind) and configs."""
-    payload = F.struct("example_id", "layer", "kind")
-    return capture.agg(
-        F.count("*").alias("captured_rows"),
-        F.count_distinct(payload).alias("captured_payloads"),
-        F.count_distinct("config").alias("captured_configs"),
+    cells = capture.groupBy("example_id", "layer", "kind", "config").agg(F.count("*").alias("n"))
+    # a distinct payload or config is counted at its first cell, without distinct counts
+    payloads = cells.groupBy("example_id", "layer", "kind").agg(
+        F.sum("n").alias("n"), F.collect_set("config").alias("configs")
+    )
+    return payloads.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("captured_rows"),
+        F.count("*").alias("captured_payloads"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("configs")))).cast("bigint").alias(
+            "captured_configs"
+        ),
     )
 
 

@@ -19,30 +19,48 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 def tokenize(
-    corpus: DataFrame, max_length: int, tokenizer: Tokenizer = whitespace_tokens
+    corpus: DataFrame, max_length: int | None, tokenizer: Tokenizer = whitespace_tokens
 ) -> DataFrame:
-    """Adds ``tokens``, cut at ``max_length``, and ``n_tokens``; drops the text."""
+    """Adds ``tokens``, cut at ``max_length`` if one is given, and ``n_tokens``;
+    drops the text."""
+    tokens = tokenizer(F.col("text"))
+    if max_length is not None:
+        tokens = F.slice(tokens, 1, max_length)
     return (
-        corpus.withColumn("tokens", F.slice(tokenizer(F.col("text")), 1, max_length))
+        corpus.withColumn("tokens", tokens)
         .drop("text")
         .withColumn("n_tokens", F.size("tokens"))
     )
 
 
-def token_counts(corpus: DataFrame, max_length: int) -> DataFrame:
-    """``n_tokens`` of the default tokenizer without building the tokens."""
-    count = F.regexp_count("text", F.lit(r"\S+"))
-    return corpus.withColumn("n_tokens", F.least(count, F.lit(max_length))).drop("text")
-
-
-def valid_lengths(corpus: DataFrame, max_length: int) -> DataFrame:
+def token_counts(
+    corpus: DataFrame, max_length: int | None, tokenizer: Tokenizer = whitespace_tokens
+) -> DataFrame:
+    """``n_tokens``; the default tokenizer's are counted without building them."""
+    if tokenizer is whitespace_tokens:
+        count = F.regexp_count("text", F.lit(r"\S+"))
+    else:
+        count = F.size(tokenizer(F.col("text")))
+    if max_length is not None:
+        count = F.least(count, F.lit(max_length))
+    return corpus.withColumn("n_tokens", count).drop("text")
+
+
+def valid_lengths(
+    corpus: DataFrame, max_length: int | None, tokenizer: Tokenizer = whitespace_tokens
+) -> DataFrame:
     """Valid length of every example that has at least one token."""
-    return token_counts(corpus, max_length).filter(F.col("n_tokens") > 0)
+    return token_counts(corpus, max_length, tokenizer).filter(F.col("n_tokens") > 0)
 
 
-def valid_length_profile(corpus: DataFrame, max_length: int, batch_size: int) -> DataFrame:
+def valid_length_profile(
+    corpus: DataFrame,
+    max_length: int | None,
+    batch_size: int,
+    tokenizer: Tokenizer = whitespace_tokens,
+) -> DataFrame:
     """Smallest and largest valid length of every batch."""
-    lengths = token_counts(corpus, max_length).select("example_id", "n_tokens")
+    lengths = token_counts(corpus, max_length, tokenizer).select("example_id", "n_tokens")
     return (
         with_ordinal(lengths, "example_id")
         .groupBy(batch_number(F.col("ordinal"), batch_size).alias("batch_no"))
@@ -82,27 +100,29 @@ def offset_positions(
 
     ``offsets(row_ordinal, start_positions)`` is numbered from 0 without gaps.
     Examples beyond its last row use that row.  They may be most of the corpus,
-    so they are not joined on it: the one row enters the plan as a literal.
+    so they are not joined on it: the one row is a scalar subquery.
     """
     plain = F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens").cast("bigint") - 1)
     usable = examples.filter(F.col("n_tokens") > 0)
-    last = (
-        None if offsets is None else offsets.orderBy(F.col("row_ordinal").desc()).limit(1).first()
-    )
-    if last is None:
+    if offsets is None:
         return usable.withColumn("positions", plain)
-    rest = F.lit(list(last["start_positions"])).cast("array<bigint>")
+    last = offsets.agg(
+        F.max_by(F.col("start_positions").cast("array<bigint>"), "row_ordinal").alias("_rest")
+    ).scalar()
+    start = F.col("_start")
+    fitted = F.when(start.isNotNull(), fit_positions(start, F.col("n_tokens"))).otherwise(plain)
     return (
         usable.join(
-            offsets.select(F.col("row_ordinal").cast("bigint").alias(ordinal), "start_positions"),
+            offsets.select(
+                F.col("row_ordinal").cast("bigint").alias(ordinal),
+                F.col("start_positions").cast("array<bigint>").alias("start_positions"),
+            ),
             ordinal,
             "left",
         )
-        .withColumn(
-            "positions",
-            fit_positions(F.coalesce("start_positions", rest), F.col("n_tokens")),
-        )
-        .drop("start_positions")
+        .withColumn("_start", F.coalesce(F.col("start_positions"), last))
+        .withColumn("positions", fitted)
+        .drop("start_positions", "_start")
     )
 
 

@@ -52,9 +52,11 @@ def groups_of(examples: DataFrame, settings: CaptureSettings) -> DataFrame:
     return sequence_groups(examples, captured_layers(settings), settings.kinds)
 
 
-def sampled_positions(corpus: DataFrame, settings: CaptureSettings) -> DataFrame:
+def sampled_positions(
+    corpus: DataFrame, settings: CaptureSettings, tokenizer: Tokenizer = whitespace_tokens
+) -> DataFrame:
     """Sampled positions without token texts; only lengths leave the scan."""
-    examples = token_counts(corpus.select("example_id", "text"), settings.max_length)
+    examples = token_counts(corpus.select("example_id", "text"), settings.max_length, tokenizer)
     rows = sample_shared(groups_of(examples, settings), strategy_of(settings), settings.seed)
     return cap_rows(rows, settings.max_rows, settings.seed).drop("n_tokens")
 

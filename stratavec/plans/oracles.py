@@ -9,10 +9,21 @@ from __future__ import annotations
 from itertools import product
 
 from stratavec import defaults as D
-from stratavec.functions.draws import MULTIPLIER
-from stratavec.operators.heads import NESTED_FIELDS
-from stratavec.operators.statistics import KNOWN_KEYS
-from stratavec.plans.queries import RMS_WEIGHTS
+
+# written out, not imported, so that a wrong value in the code cannot hide
+MULTIPLIER = 73244475
+NESTED_FIELDS = ("text_config", "language_config", "llm_config", "decoder_config")
+KNOWN_KEYS = (
+    "source_dataset",
+    "dataset_name",
+    "dataset_split",
+    "attention_scope",
+    "sampling_strategy",
+    "sampling_min_bucket_size",
+    "sampling_bucket_size",
+    "distributed_world_size",
+)
+RMS_WEIGHTS = [0.5 + i / 16 for i in range(16)]
 
 SIZE = D.SETTINGS.bucket_size
 POWER = (SIZE - 1).bit_length()
@@ -67,10 +78,16 @@ def _capture(prefix: str, sampled: str) -> dict[str, str]:
             f"FROM {sampled} s JOIN tok t USING (example_id)"
         ),
         f"{prefix}_key": (
-            f"SELECT *, ('0x' || substr(md5(concat_ws('|', token_str, layer, kind)), 1, 7))::BIGINT "
-            f"% (SELECT count(*) FROM embeddings) AS vec_id FROM {prefix}_tok"
+            f"SELECT *, ('0x' || substr(digest, 1, 15))::BIGINT "
+            f"% (SELECT count(*) FROM embeddings) AS vec_id, "
+            f"('0x' || substr(digest, 16, 7))::BIGINT % 2 * 32 AS k_from FROM "
+            f"(SELECT *, md5(concat_ws('|', token_str, layer, kind)) AS digest FROM {prefix}_tok)"
+        ),
+        f"{prefix}_enc": (
+            f"SELECT k.*, CASE WHEN kind = 'q' THEN e.embedding::DOUBLE[] "
+            f"ELSE (e.embedding::DOUBLE[])[k_from + 1 : k_from + 32] "
+            f"END AS flat FROM {prefix}_key k LEFT JOIN embeddings e USING (vec_id)"
         ),
-        f"{prefix}_enc": f"SELECT k.*, e.embedding::DOUBLE[] AS flat FROM {prefix}_key k JOIN embeddings e USING (vec_id)",
         f"{prefix}_head": (
             f"SELECT *, unnest(range(CASE WHEN kind = 'q' THEN {D.LAYOUT.q_heads} "
             f"ELSE {D.LAYOUT.k_heads} END))::INT AS head FROM {prefix}_enc"
@@ -122,7 +139,7 @@ _BARE = '"num_hidden_layers": %d, "num_attention_heads": %d, "layer_types": [%s]
 CTES: dict[str, str] = {
     "tok": (
         "SELECT doc_id AS example_id, lang, "
-        f"list_slice(regexp_extract_all(text, '\\S+'), 1, {D.MAX_LENGTH}) AS tokens FROM documents"
+        "regexp_extract_all(text, '\\S+') AS tokens FROM documents"
     ),
     "lens": "SELECT example_id, len(tokens) AS n FROM tok WHERE len(tokens) > 0",
     "pos": "SELECT example_id, unnest(range(n)) AS position FROM lens",
@@ -413,7 +430,12 @@ _TEXTS: dict[str, str] = {
     "filter_selected_heads": f"{HEAD_KEYS} SEMI JOIN selected USING (layer, head, kind)",
     "filter_full_attention": f"{HEAD_KEYS} WHERE sliding_window IS NULL",
     "filter_kind": f"{HEAD_KEYS} WHERE kind = 'k'",
-    "batch_encode": f"SELECT {GROUP}, position, vec_id, {_digest('flat', 64)} FROM cap_enc",
+    "batch_encode": (
+        f"SELECT {GROUP}, position, vec_id, len(flat)::INT AS n_values, {_r4('flat[1]')} AS first_value, "
+        f"{_r4('flat[-1]')} AS last_value, "
+        f"{_r4('list_dot_product(flat, [(i + 1)::DOUBLE for i in range(len(flat))])')} AS weighted_sum "
+        "FROM cap_enc"
+    ),
     "split_heads": (
         f"SELECT vec_id, head, {_digest('v')} FROM (SELECT vec_id, head, f[head * {DIM} + 1 : head * {DIM} + {DIM}] AS v "
         "FROM (SELECT vec_id, embedding::DOUBLE[] AS f, unnest(range(4))::INT AS head FROM embeddings))"

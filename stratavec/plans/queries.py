@@ -1,8 +1,8 @@
 """The registered queries: every operator over whole test tables.
 
 Each function takes ``(spark, folder)`` and returns a DataFrame.  Captures use
-the settings of ``defaults``; texts are never cut there (``MAX_LENGTH`` is above
-every text), except in the two queries that show the cut itself.
+the settings of ``defaults``; texts are not cut, except in the two queries that
+show the cut itself.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def captured(
 
 
 def examples(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.token_counts(documents(spark, folder), D.MAX_LENGTH)
+    return tokens.token_counts(documents(spark, folder), None)
 
 
 def positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,14 +82,17 @@ def r4(value: Column) -> Column:
     return F.round(value, 4)
 
 
-def digest(vector: str, dim: int = D.LAYOUT.head_dim) -> list[Column]:
-    """Three numbers that change if an entry of the vector changes or moves."""
-    item = lambda i: F.col(vector).getItem(i).cast("double")
+def digest(vector: str, dim: int | None = D.LAYOUT.head_dim) -> list[Column]:
+    """Three numbers that change if an entry of the vector changes or moves.
+
+    Without ``dim`` the last value is that of a vector of any width.
+    """
+    item = lambda i: F.element_at(vector, i + 1).cast("double")
     terms = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
     weighted = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
     return [
         r4(item(0)).alias("first_value"),
-        r4(item(dim - 1)).alias("last_value"),
+        r4(item(-2 if dim is None else dim - 1)).alias("last_value"),
         r4(weighted).alias("weighted_sum"),
     ]
 
@@ -224,7 +227,7 @@ def valid_lengths(spark, folder):
 
 @register
 def valid_length_profile(spark, folder):
-    return tokens.valid_length_profile(documents(spark, folder), D.MAX_LENGTH, D.BATCH_SIZE)
+    return tokens.valid_length_profile(documents(spark, folder), None, D.BATCH_SIZE)
 
 
 @register
@@ -545,7 +548,8 @@ def filter_kind(spark, folder):
 def batch_encode(spark, folder):
     rows = encoder(spark, folder).encode(sampled_tokens(documents(spark, folder), D.SETTINGS))
     return rows.select(
-        "example_id", "layer", "kind", "position", "vec_id", *digest("flat", 64)
+        "example_id", "layer", "kind", "position", "vec_id", F.size("flat").alias("n_values"),
+        *digest("flat", None),
     )
 
 
@@ -559,18 +563,20 @@ def split_heads(spark, folder):
 @register
 def gather_vectors(spark, folder):
     source = encoder(spark, folder)
-    sampled = sampled_tokens(documents(spark, folder), D.SETTINGS).withColumn(
-        "vec_id", gather.token_vector_id(source.n_vectors)
+    sampled = gather.with_vector_place(
+        sampled_tokens(documents(spark, folder), D.SETTINGS), source.n_vectors, source.width, D.LAYOUT
     )
-    flat = source.vectors.select("vec_id", F.col("embedding").alias("flat"))
     by_kind = [
-        gather.split_heads(flat, D.LAYOUT.heads(kind), D.LAYOUT.head_dim).withColumn(
-            "kind", F.lit(kind)
+        gather.split_heads(
+            gather.flat_vectors(source.vectors, D.LAYOUT, kind), D.LAYOUT.heads(kind), D.LAYOUT.head_dim
         )
         for kind in D.KINDS
     ]
     rows = gather.gather_vectors(
-        sampled, gather.merge_batches(*by_kind), ("vec_id", "kind"), default_selection(spark)
+        sampled,
+        gather.merge_batches(*by_kind),
+        ("vec_id", "slot", "kind"),
+        default_selection(spark),
     )
     return rows.select(*VECTOR_KEY, *digest("vector"))
 

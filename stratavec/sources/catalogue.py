@@ -96,17 +96,23 @@ def read_branches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_config(spark: SparkSession, root: str, branch: str, config: str) -> DataFrame:
-    """One config of one branch; other partitions are pruned."""
-    return read_branches(spark, root).filter(
-        (F.col("branch") == branch) & (F.col("config") == config)
-    )
+    """One config of one branch; nothing else of the catalogue is listed."""
+    rows = _read_below(spark, root, f"{branch_path(root, branch)}/config={config}")
+    return rows.filter((F.col("branch") == branch) & (F.col("config") == config))
 
 
 def read_config_prefix(spark: SparkSession, root: str, branch: str, prefix: str) -> DataFrame:
     """Configs whose name starts with ``prefix``, e.g. ``l00h00`` for q and k."""
-    return read_branches(spark, root).filter(
-        (F.col("branch") == branch) & F.col("config").startswith(prefix)
-    )
+    rows = _read_below(spark, root, f"{branch_path(root, branch)}/config={prefix}*")
+    return rows.filter((F.col("branch") == branch) & F.col("config").startswith(prefix))
+
+
+def _read_below(spark: SparkSession, root: str, path: str) -> DataFrame:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    if not found:
+        return spark.createDataFrame([], BRANCHED)
+    return spark.read.schema(BRANCHED).option("basePath", root).parquet(path)
 
 
 def read_plain_files(spark: SparkSession, root: str) -> DataFrame:

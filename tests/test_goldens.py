@@ -378,3 +378,81 @@ def test_corpus_formats(spark, tmp_path, fmt):
     rows = corpus.scan_corpus(spark, path, "name", "body", fmt, schema=schema)
     assert rows.columns == ["example_id", "text"]
     assert sorted((r.example_id, r.text or "") for r in rows.collect()) == texts
+
+
+@pytest.mark.parametrize("dim", [15, 16, 17, 64, 128])
+def test_width_contract(spark, dim):
+    """Every vector function takes exactly the stated width, wide or narrow."""
+    from stratavec.functions import vectors as V
+
+    even = dim - dim % 2
+    calls = {
+        "dot": lambda v: V.dot(v, v, dim),
+        "halves": lambda v: V.rotate_halves(v, F.lit(3), even, 10000.0),
+        "pairs": lambda v: V.rotate_pairs(v, F.lit(3), even, even // 2 // 2 * 2, 10000.0),
+        "norm": lambda v: V.rms_norm(v, [1.0] * dim, 1e-6),
+    }
+    values = [((i * 7) % 5 - 2) / 2 for i in range(dim + 1)]
+    frame = spark.createDataFrame([(values,)], "v array<float>")
+    for name, call in calls.items():
+        width = even if name in ("halves", "pairs") else dim
+        out = frame.select(call(F.slice("v", 1, width)).alias("o")).first()["o"]
+        if name == "dot":
+            assert out == pytest.approx(sum(x * x for x in values[:dim]))
+        elif name == "norm":
+            assert len(out) == dim
+        else:
+            assert sum(x * x for x in out) == pytest.approx(sum(x * x for x in values[:even]))
+        for wrong in (width - 1, width + 1):
+            if wrong <= len(values):
+                with pytest.raises(Exception, match="entries expected"):
+                    frame.select(call(F.slice("v", 1, wrong)).alias("o")).collect()
+    angle = [3 * 10000.0 ** (-2 * i / even) for i in range(even // 2)]
+    got = frame.select(calls["halves"](F.slice("v", 1, even)).alias("o")).first()["o"]
+    for i, a in enumerate(angle):
+        x, y = values[i], values[i + even // 2]
+        assert got[i] == pytest.approx(x * math.cos(a) - y * math.sin(a), abs=1e-9)
+        assert got[i + even // 2] == pytest.approx(y * math.cos(a) + x * math.sin(a), abs=1e-9)
+
+
+def test_flat_vector_of_another_width_is_an_error(spark):
+    frame = spark.createDataFrame([([1.0] * 40,)], "flat array<float>")
+    with pytest.raises(Exception, match="64 entries expected"):
+        gather.split_heads(frame, 4, 16).collect()
+
+
+def test_missing_vector_is_an_error(spark):
+    sampled = spark.createDataFrame([(1, 0, "q", 0), (1, 0, "q", 5)], "example_id long, layer int, kind string, position int")
+    known = spark.createDataFrame([(1, 0, "q", 0, [1.0])], "example_id long, layer int, kind string, position int, vector array<float>")
+    with pytest.raises(Exception, match="no vector for"):
+        gather.gather_vectors(sampled, known).collect()
+    gaps = spark.createDataFrame([(0, [1.0] * 64), (2, [1.0] * 64), (5, [1.0] * 64)], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="vector ids must be"):
+        gather.LookupEncoder.over(gaps)
+
+
+def test_layer_with_two_rows_is_an_error(spark):
+    rows = spark.createDataFrame([(1,)], "layer int")
+    layers = spark.createDataFrame([(1, 4), (1, 5)], "layer int, sliding_window int")
+    with pytest.raises(Exception, match="more than one row for layer 1"):
+        rows.join(rotary.bounded_layers(layers, "sliding_window"), "layer").collect()
+
+
+def test_deeply_nested_layout_and_whole_floats(spark):
+    inner = '{"num_hidden_layers": 2.0, "num_attention_heads": 4, "num_key_value_heads": 2}'
+    config = '{"text_config": {"llm_config": {"decoder_config": %s}}}' % inner
+    row = heads.head_layout(spark.createDataFrame([("m", config)], "model string, config string")).first()
+    assert (row["num_layers"], row["q_heads"], row["k_heads"]) == (2, 4, 2)
+
+
+def test_causal_tiles_match_brute_force(spark):
+    layout = Layout(q_heads=2, k_heads=1, head_dim=2, layer_types=(FULL,))
+    n, tile = 23, 4
+    rows = [(1, 0, h, "q", p, [float(p), 1.0]) for h in range(2) for p in range(n)]
+    rows += [(1, 0, 0, "k", p, [1.0, float(p)]) for p in range(n + 6)]
+    capture = spark.createDataFrame(rows, "example_id long, layer int, head int, kind string, position int, vector array<float>")
+    q, k = attention.query_side(capture, layout), attention.key_side(capture)
+    got = {(r["head"], r["q_position"], r["k_position"]): r["logit"] for r in attention.causal_pairs(q, k, layout, tile=tile).collect()}
+    want = {(h, a, b): (a + b) / math.sqrt(2) for h in range(2) for a in range(n) for b in range(a + 1)}
+    assert got.keys() == want.keys()
+    assert all(got[x] == pytest.approx(want[x]) for x in want)

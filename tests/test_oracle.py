@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import DataFrame
 
 import __spark_entry__ as driver
+from stratavec.plans import queries as library
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
@@ -42,4 +43,4 @@ def test_entry(spark):
 
 def test_all_but_one_query_have_sql():
     # Spark and DuckDB both lack blake2b; test_goldens checks it against hashlib
-    assert set(QUERIES) - set(ORACLES) == {"normalize_example_id_blake2b"}
+    assert set(library.QUERIES) - set(ORACLES) == {"normalize_example_id_blake2b"}
