@@ -79,15 +79,18 @@ def later_windows(windows: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with shortened texts and two more columns, ``_n_lines`` and
-    ``_n_removed``."""
+    """``(row, text, n_lines, n_removed)``: every row of ``docs`` and its new text."""
     windows = stored(window_table(docs), "line-windows")
     covered = (
         later_windows(windows)
         .groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
         .agg(F.collect_set("pos").alias("_pos"))
     )
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(
+    # the row travels as a struct, so none of its columns can clash with ours
+    whole = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("_hash")
+    )
+    joined = whole.join(
         covered,
         (F.col("_hash") == F.col("_copy")) & F.col("doc_id").eqNullSafe(F.col("_id")),
         "left",
@@ -95,38 +98,39 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     removed = F.flatten(
         F.transform("_pos", lambda p: F.transform(F.array(*map(F.lit, range(WINDOW))), lambda k: p + k))
     )
-    kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), removed)
+    kept = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), removed)
     shortened = _with_lines(
         F.col("text"),
         lambda lines: F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"),
     )
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
     n_removed = F.when(F.col("_pos").isNull(), 0).otherwise(F.size(F.array_distinct(removed)))
-    return (
-        joined.withColumn("_n_lines", n_lines)
-        .withColumn("_n_removed", n_removed)
-        .withColumn("text", F.when(F.col("_pos").isNull(), F.col("text")).otherwise(shortened))
-        .select(*docs.columns, "_n_lines", "_n_removed")
+    return joined.withColumn("n_lines", n_lines).select(
+        "row",
+        F.when(F.col("_pos").isNull(), F.col("text")).otherwise(shortened).alias("text"),
+        "n_lines",
+        n_removed.alias("n_removed"),
     )
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """Text of every document after the removal, with the counts."""
     return without_repeated_lines(docs.select("doc_id", "text")).select(
-        "doc_id",
+        "row.doc_id",
         "text",
-        F.col("_n_lines").cast("long").alias("n_lines"),
-        F.col("_n_removed").cast("long").alias("n_removed"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_removed").cast("long").alias("n_removed"),
     )
 
 
 def shorten(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their shortened texts and lengths."""
     out = without_repeated_lines(docs)
-    if "n_chars" in docs.columns:
-        length = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(columns["n_chars"])
+        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 ORACLE = """

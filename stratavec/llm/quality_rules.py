@@ -311,5 +311,7 @@ def keep_regular(docs: DataFrame) -> DataFrame:
     Texts are stored once beside their statistics, so they are read again for
     the verdict instead of being shuffled or analysed twice.
     """
-    out = judged(stored(with_statistics(docs), "quality-documents"))
-    return out.filter("_kept").select(*docs.columns)
+    # the row travels as a struct, so none of its columns can clash with ours
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")
+    out = judged(stored(with_statistics(whole).drop("text"), "quality-documents"))
+    return out.filter("_kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -197,7 +197,8 @@ def probes(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame
     for number, (bits, threshold) in enumerate(parts):
         flips = [_mask(list(c)) for k in range(threshold + 1) for c in combinations(bits, k)]
         own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
-        value = own if len(flips) == 1 else own.bitwiseXOR(F.explode(F.lit(flips)))
+        # bound here and now: the function runs before the next round
+        value = F.explode(F.transform(F.lit(flips), lambda flip: own.bitwiseXOR(flip)))
         rows = distinct.select(F.lit(number).alias("part"), value.alias("value"), "fp")
         out = rows if out is None else out.union(rows)
     return out
