@@ -13,7 +13,7 @@ feature of its own, shared by all such words (a word bigram).
 
 Defined cases: null and empty texts have no features and get the learned prior;
 a label that is null is not used, of repeated labels of a document the smallest
-counts; without labels every score is 0.5, with labels of one class only the
+counts, and of rows with one id the one with the smallest features is learned from; without labels every score is 0.5, with labels of one class only the
 prior decides.  Rows without an id are scored and count as not held out.
 """
 
@@ -192,8 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "label", _features(F.col("text")).alias("f"))
-        .select("doc_id", "label", "f.b", "f.c")
+        .select("doc_id", F.struct("label", _features(F.col("text")).alias("f")).alias("s"))
+        .groupBy("doc_id")
+        .agg(F.min("s").alias("s"))  # an id on many rows is one example
+        .select("doc_id", "s.label", "s.f.b", "s.f.c")
         .toArrow()
     )
     order = sorted(
@@ -229,7 +231,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose predicted class is 1, unchanged."""
-    score = scores(fit(docs, labels))
+def keep_good(
+    docs: DataFrame, labels: DataFrame, training: DataFrame | None = None
+) -> DataFrame:
+    """The rows of ``docs`` whose predicted class is 1, unchanged.
+
+    The model learns from ``training``, or from ``docs`` if that is not given.
+    Where earlier filters have left one class only, there is nothing to learn
+    from ``docs`` themselves.
+    """
+    score = scores(fit(docs if training is None else training, labels))
     return docs.filter(score(F.col("text")) >= 0.5)

@@ -323,6 +323,21 @@ def test_classifier(spark, docs_of, small):
     assert subword_classifier.classify(few.limit(0), labels).collect() == []
 
 
+def test_classifier_learns_from_other_documents(spark, small):
+    """Documents of one class are judged by a model that has seen both."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    poor = docs.join(labels.filter("quality = 0"), "doc_id", "left_semi")
+    good = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi")
+    kept = lambda rows: subword_classifier.keep_good(rows, labels, docs).collect()
+    assert len(kept(poor)) <= 0.1 * poor.count()
+    assert len(kept(good)) >= 0.95 * sum(quality.values())
+    # examples repeated under one id are one example
+    twice = subword_classifier.keep_good(good, labels, docs.union(docs)).count()
+    assert twice == len(kept(good))
+
+
 def test_classifier_cuts_long_texts_at_words():
     text = "alpha beta gamma " * 40000
     whole = sum(len(subword_classifier._hashed(p)) for p in subword_classifier._stretches(text.encode()))
