@@ -22,7 +22,10 @@ def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return subword_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+    # learned from all documents: the rules before may leave examples of one class only
+    return subword_classifier.keep_good(
+        docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    )
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
