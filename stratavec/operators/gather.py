@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,6 +182,57 @@ class BatchEncoder:
         return rows.withColumn("flat", flat("token_str", "layer", "kind", "position"))
 
 
+@dataclass
+class SequenceEncoder:
+    """Encoder around a Python model that sees the whole sequence.
+
+    ``model(tokens, layer, kind, positions)`` returns one flat vector per
+    position and is called once per sequence, layer and kind.  ``examples`` has
+    ``(example_id, tokens)``.  Sampled rows meet their sequence by its id, so a
+    task never holds more than the sampled rows of the sequences in an Arrow
+    batch (``spark.sql.execution.arrow.maxRecordsPerBatch``).  Only vectors of
+    sampled positions leave the task.  A sampled row without its sequence is an
+    error.  For batches only: a stream cannot gather the rows of an example.
+    """
+
+    model: Callable[[list[str], int, str, np.ndarray], np.ndarray]
+    examples: DataFrame
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        model = self.model
+
+        def vectors(tokens, layers, kinds, positions) -> list[list[float]]:
+            if tokens is None:
+                raise ValueError("sampled rows of an example without tokens")
+            places: dict[tuple[int, str], list[int]] = {}
+            for i, key in enumerate(zip(layers, kinds)):
+                places.setdefault(key, []).append(i)
+            out: list[list[float]] = [[] for _ in positions]
+            for (layer, kind), spots in places.items():
+                wanted = np.array([positions[i] for i in spots], dtype=np.int64)
+                found = np.asarray(model(tokens, layer, kind, wanted), dtype=np.float32)
+                if len(found) != len(spots):
+                    raise ValueError(f"{len(found)} vectors for {len(spots)} positions")
+                for i, vector in zip(spots, found.tolist()):
+                    out[i] = vector
+            return out
+
+        @F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+        def flats(tokens: pa.Array, layer: pa.Array, kind: pa.Array, position: pa.Array) -> pa.Array:
+            columns = [c.to_pylist() for c in (tokens, layer, kind, position)]
+            return pa.array(
+                [vectors(*row) for row in zip(*columns)], pa.list_(pa.list_(pa.float32()))
+            )
+
+        gathered = rows.groupBy("example_id").agg(F.collect_list(F.struct(*rows.columns)).alias("_r"))
+        tokens = self.examples.select("example_id", "tokens")
+        encoded = gathered.join(tokens, "example_id", "left").select(
+            "_r", flats("tokens", "_r.layer", "_r.kind", "_r.position").alias("_v")
+        )
+        pairs = encoded.select(F.explode(F.arrays_zip("_r", "_v")).alias("_p"))
+        return pairs.select("_p._r.*", F.col("_p._v").alias("flat"))
+
+
 def split_heads(rows: DataFrame, n_heads: int, head_dim: int, flat: str = "flat") -> DataFrame:
     """One row per head of a flat projection."""
     return (

@@ -436,6 +436,17 @@ _TEXTS: dict[str, str] = {
         f"{_r4('list_dot_product(flat, [(i + 1)::DOUBLE for i in range(len(flat))])')} AS weighted_sum "
         "FROM cap_enc"
     ),
+    "encode_sequences": (
+        "WITH spelled AS (SELECT example_id, unnest(tokens) AS word, unnest(range(len(tokens))) AS position FROM tok), "
+        "told AS (SELECT example_id, position, length(word) AS own, lag(length(word), 1, 0) OVER w AS previous, "
+        "sum(length(word)) OVER w AS total FROM spelled WINDOW w AS (PARTITION BY example_id ORDER BY position)) "
+        f"SELECT {GROUP}, position, "
+        + ", ".join(
+            f"({x} * (layer + 1) + (kind = 'k')::INT)::DOUBLE AS {x}_length"
+            for x in ("own", "previous", "total")
+        )
+        + " FROM uni JOIN told USING (example_id, position)"
+    ),
     "split_heads": (
         f"SELECT vec_id, head, {_digest('v')} FROM (SELECT vec_id, head, f[head * {DIM} + 1 : head * {DIM} + {DIM}] AS v "
         "FROM (SELECT vec_id, embedding::DOUBLE[] AS f, unnest(range(4))::INT AS head FROM embeddings))"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -553,6 +554,24 @@ def batch_encode(spark, folder):
     )
 
 
+def prefix_lengths(words, layer, kind, positions):
+    """A model that needs the sequence: lengths of a token, of the one before it,
+    and of all up to it."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    rows = np.stack([sizes, np.r_[0, sizes[:-1]], np.cumsum(sizes)], axis=1)
+    return rows[positions] * (layer + 1) + (kind == "k")
+
+
+@register
+def encode_sequences(spark, folder):
+    texts = documents(spark, folder)
+    source = gather.SequenceEncoder(prefix_lengths, tokens.tokenize(texts, None))
+    rows = source.encode(sampled_positions(texts, D.SETTINGS))
+    names = ("own_length", "previous_length", "total_length")
+    values = [F.get("flat", i).cast("double").alias(n) for i, n in enumerate(names)]
+    return rows.select("example_id", "layer", "kind", "position", *values)
+
+
 @register
 def split_heads(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("flat"))

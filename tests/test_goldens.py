@@ -302,6 +302,30 @@ def test_batch_encoder(spark):
     assert [list(r.flat) for r in got] == [[2.0, 1.0, 0.0], [1.0, 2.0, 5.0]]
 
 
+def test_sequence_encoder(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame(
+        [(7, 1, "q", 2, "x"), (7, 0, "k", 0, "y"), (8, 1, "q", 1, "z")],
+        "example_id long, layer int, kind string, position int, note string",
+    )
+    examples = spark.createDataFrame(
+        [(7, ["a", "bb", "ccc"]), (8, ["d", "ee"]), (9, [])],
+        "example_id long, tokens array<string>",
+    )
+    # depends on the token before
+    model = lambda words, layer, kind, at: np.array(
+        [[len(words[p]), len(words[p - 1]) if p else 0, layer] for p in at]
+    )
+    got = gather.SequenceEncoder(model, examples).encode(rows)
+    assert got.columns == [*rows.columns, "flat"]
+    assert {r.note: r.flat for r in got.collect()} == {
+        "x": [3.0, 2.0, 1.0], "y": [1.0, 0.0, 0.0], "z": [2.0, 1.0, 1.0]
+    }
+    with pytest.raises(Exception, match="without tokens"):
+        gather.SequenceEncoder(model, examples.filter("example_id = 8")).encode(rows).collect()
+
+
 def test_softmax_of_far_apart_logits(spark):
     logits = {0: [0.0], 1: [1.0, 2.0], 2: [-900.0, 900.0, 899.0], 3: [249.0, 251.0], 4: [3000.0] * 3}
     frame = spark.createDataFrame(
