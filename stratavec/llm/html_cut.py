@@ -39,6 +39,8 @@ PARENT_WEIGHT = 0.9
 # log-odds that an element's own meaning adds to the classifier's
 EVIDENCE = 12.0
 LARGEST_COST = 4.0
+# an edge with less left is full
+SMALLEST_ROOM = 1e-9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -232,44 +234,72 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
 
 
 class FlowNetwork:
-    """Maximum flow by shortest augmenting paths; nodes 0 .. n-1, source n, sink n+1."""
+    """Maximum flow by blocking flows; nodes 0 .. n-1, source n, sink n+1.
+
+    Edge e and its reverse e ^ 1 are neighbours in the lists.  A round augments
+    along all shortest paths at once, so a page with tens of thousands of blocks
+    takes a few passes over them, not one pass per path.
+    """
 
     def __init__(self, n: int):
         self.n = n
-        self.room: list[dict[int, float]] = [{} for _ in range(n + 2)]
+        self.to: list[int] = []
+        self.room: list[float] = []
+        self.out: list[list[int]] = [[] for _ in range(n + 2)]
 
     def edge(self, a: int, b: int, forth: float, back: float = 0.0) -> None:
-        self.room[a][b] = self.room[a].get(b, 0.0) + forth
-        self.room[b][a] = self.room[b].get(a, 0.0) + back
-
-    def _reached(self) -> dict[int, int]:
-        """Nodes with room from the source, each with the one before it."""
-        source, sink = self.n, self.n + 1
-        before = {source: source}
-        queue = deque([source])
+        for start, end, room in ((a, b, forth), (b, a, back)):
+            self.out[start].append(len(self.to))
+            self.to.append(end)
+            self.room.append(room)
+
+    def _levels(self) -> list[int]:
+        """Steps from the source through edges with room; -1 if out of reach."""
+        level = [-1] * (self.n + 2)
+        level[self.n] = 0
+        queue = deque([self.n])
         while queue:
             at = queue.popleft()
-            for to, room in self.room[at].items():
-                if room > 1e-9 and to not in before:
-                    before[to] = at
-                    if to == sink:
-                        return before
-                    queue.append(to)
-        return before
+            for e in self.out[at]:
+                if self.room[e] > SMALLEST_ROOM and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[at] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def _block(self, level: list[int]) -> None:
+        """Fill all paths that rise by one level a step."""
+        to, room, sink = self.to, self.room, self.n + 1
+        untried = [iter(edges) for edges in self.out]
+        current = [next(edges, None) for edges in untried]
+        path: list[int] = []
+        at = self.n
+        while True:
+            if at == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                full = next(k for k, e in enumerate(path) if room[e] <= SMALLEST_ROOM)
+                at = to[path[full] ^ 1]
+                del path[full:]
+            e = current[at]
+            while e is not None and not (room[e] > SMALLEST_ROOM and level[to[e]] == level[at] + 1):
+                e = next(untried[at], None)
+            current[at] = e
+            if e is not None:
+                path.append(e)
+                at = to[e]
+            elif path:
+                at = to[path.pop() ^ 1]
+                current[at] = next(untried[at], None)
+            else:
+                return
 
     def source_side(self) -> set[int]:
         """Nodes on the source's side of a minimum cut."""
-        source, sink = self.n, self.n + 1
-        while sink in (before := self._reached()):
-            path, at = [], sink
-            while at != source:
-                path.append((before[at], at))
-                at = before[at]
-            flow = min(self.room[a][b] for a, b in path)
-            for a, b in path:
-                self.room[a][b] -= flow
-                self.room[b][a] += flow
-        return set(before)
+        while (level := self._levels())[self.n + 1] >= 0:
+            self._block(level)
+        return {i for i, steps in enumerate(level) if steps >= 0}
 
 
 def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:

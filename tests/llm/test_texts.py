@@ -427,3 +427,16 @@ def test_minimum_cut_equals_brute_force():
 
         best = min(cost({i for i in range(n) if m >> i & 1}) for m in range(1 << n))
         assert cost(network.source_side() - {n}) == pytest.approx(best)
+
+
+def test_minimum_cut_of_a_page_with_many_blocks():
+    """40,000 blocks of alternating look: the work is not a pass per block."""
+    weights = np.zeros(html_cut.N_FEATURES)
+    weights[:2] = -1.0, 2.0
+    look = "<p>A long sentence, number %d, with marks. And more words after it, too.</p><div>l</div>"
+    blocks = html_cut.page_blocks("".join(look % i for i in range(20_000)))
+    assert len(blocks) == 40_000
+    main = html_cut.labelled(blocks, weights)
+    assert len(main) == 40_000 and main == html_cut.labelled(blocks, weights)
+    # far from the ends the pattern repeats
+    assert len({tuple(main[k : k + 2]) for k in range(1000, 39_000, 2)}) == 1
