@@ -582,6 +582,35 @@ _TEXTS: dict[str, str] = {
         "SELECT branch, 'model-a' AS model_name, branch AS sampling_strategy, bucket, count(*) AS n_rows "
         "FROM branched GROUP BY branch, bucket"
     ),
+    "capture_run_sampled": (
+        "SELECT bucket, count(*) AS n_rows, 'random_query' AS strategy, '0' AS seed, "
+        "'6' AS requested_query_heads, "
+        "(SELECT count(*) FROM selected WHERE kind = 'q')::VARCHAR AS selected_query_heads, "
+        "(SELECT count(*) FROM selected WHERE kind = 'k')::VARCHAR AS selected_key_heads, "
+        "'4' AS num_layers, '4' AS num_query_heads, '2' AS num_key_heads, "
+        "'0' AS full_attention_only, '2' AS sliding_layer_count, '2' AS full_layer_count, "
+        "'0' AS sliding_candidates_excluded "
+        "FROM cap SEMI JOIN selected USING (layer, head, kind) WHERE example_id IN "
+        "(SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500) GROUP BY bucket"
+    ),
+    "session_rows": (
+        f"SELECT {STORED_COUNTS} FROM (SELECT * FROM cap WHERE layer NOT IN (0, 1) UNION ALL "
+        "SELECT * FROM caplog WHERE layer IN (0, 1) UNION ALL SELECT * FROM caplog) GROUP BY config"
+    ),
+    "session_counts": (
+        "SELECT bucket, sum(s)::BIGINT AS n_stored, count(*) AS n_written FROM "
+        "(SELECT bucket, (layer NOT IN (0, 1))::INT AS s FROM cap UNION ALL "
+        "SELECT bucket, 1 FROM caplog WHERE layer IN (0, 1) UNION ALL "
+        "SELECT bucket, 1 FROM caplog) GROUP BY bucket"
+    ),
+    "corpus_stream_take": (
+        "SELECT least(count(*), 500) AS n_rows, least(count(DISTINCT doc_id), 500) AS n_ids "
+        "FROM documents"
+    ),
+    "stream_session": (
+        "SELECT 'live' AS branch, 'model-a' AS model_name, bucket, count(*) AS n_rows "
+        "FROM cap GROUP BY bucket"
+    ),
     "stream_capture": f"SELECT {STORED_ROWS} FROM cap",
 }
 _TEXTS["custom_sampler_udf"] = _TEXTS["custom_sampler"]

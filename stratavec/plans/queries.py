@@ -27,7 +27,7 @@ from stratavec.operators import (
     statistics,
     tokens,
 )
-from stratavec.plans import run
+from stratavec.plans import run, sessions
 from stratavec.plans.capture import (
     capture,
     groups_of,
@@ -973,7 +973,7 @@ def capture_counters(spark, folder):
 @register
 def capture_run(spark, folder):
     manifest = run.read_manifest(spark, _runs(spark, folder))
-    return manifest.select(
+    return manifest.filter("bucket is not null").select(
         "branch",
         "model_name",
         F.col("metadata")["sampling_strategy"].alias("sampling_strategy"),
@@ -982,9 +982,97 @@ def capture_run(spark, folder):
     )
 
 
+@register
+def capture_run_sampled(spark, folder):
+    """A run that numbers, takes and selects by itself, with its record."""
+    root = scratch_path(spark, "run-sampled")
+    run.run_capture(
+        run.run_corpus(
+            table(spark, folder, "documents"), "doc_id", max_samples=D.MAX_SAMPLES
+        ),
+        D.SETTINGS,
+        encoder(spark, folder),
+        root=root,
+        branch="sampled",
+        model_name="model-a",
+        head_sampling=run.HeadSampling(D.HEAD_SAMPLE, D.SETTINGS.seed),
+    )
+    manifest = run.read_manifest(spark, root).filter("bucket is not null")
+    entry = lambda name: F.col("metadata")[f"head_sampling_{name}"].alias(name)
+    names = (
+        "strategy", "seed", "requested_query_heads", "selected_query_heads",
+        "selected_key_heads", "num_layers", "num_query_heads", "num_key_heads",
+        "full_attention_only", "sliding_layer_count", "full_layer_count",
+        "sliding_candidates_excluded",
+    )
+    return manifest.select("bucket", "n_rows", *map(entry, names))
+
+
+def _sessions(spark, folder):
+    """A branch of three sessions: everything, two layers replaced, rows added."""
+    root = scratch_path(spark, "sessions")
+    steps = (
+        (D.SETTINGS, sessions.REPLACE_ALL),
+        (replace(LOG_SETTINGS, layers=(0, 1)), sessions.REPLACE_CONFIGS),
+        (LOG_SETTINGS, sessions.APPEND),
+    )
+    for settings, mode in steps:
+        sessions.add_session(
+            captured(spark, folder, settings),
+            root=root,
+            branch="b",
+            model_name="model-a",
+            mode=mode,
+        )
+    return root
+
+
+@register
+def session_rows(spark, folder):
+    rows = catalogue.read_branches(spark, _sessions(spark, folder))
+    return _stored_counts(rows)
+
+
+@register
+def session_counts(spark, folder):
+    """Per bucket: rows stored now, and rows written over all sessions."""
+    root = _sessions(spark, folder)
+    stored = sessions.read_manifest(spark, root).filter("bucket is not null")
+    written = sessions.ledger_counts(spark, root, "b").withColumnRenamed("n_rows", "n_written")
+    return written.join(stored.select("bucket", "n_rows"), "bucket", "left").select(
+        "bucket", F.coalesce("n_rows", F.lit(0)).alias("n_stored"), "n_written"
+    )
+
+
 # --- streaming ------------------------------------------------------------------
 
 
+@register
+def corpus_stream_take(spark, folder):
+    """The stream ends after the rows taken; which they are is up to their order."""
+    path, state = scratch_path(spark, "taken"), scratch_path(spark, "taken-state")
+    rows = corpus.corpus_stream(
+        spark, folder, DOCUMENTS_SCHEMA, glob="documents.parquet", take=D.MAX_SAMPLES
+    )
+    live.run_available(rows, path, state)
+    got = spark.read.schema("example_id bigint, text string").parquet(path)
+    return got.agg(F.count("*").alias("n_rows"), F.count_distinct("example_id").alias("n_ids"))
+
+
+@register
+def stream_session(spark, folder):
+    root, state = scratch_path(spark, "live-run"), scratch_path(spark, "live-run-state")
+    sessions.add_stream_session(
+        capture(_stream(spark, folder), D.SETTINGS, encoder(spark, folder)),
+        root=root,
+        branch="live",
+        model_name="model-a",
+        checkpoint=state,
+    )
+    manifest = sessions.read_manifest(spark, root).filter("bucket is not null")
+    return manifest.select("branch", "model_name", "bucket", "n_rows")
+
+
 @register
 def stream_capture(spark, folder):
     path, state = scratch_path(spark, "live"), scratch_path(spark, "live-state")

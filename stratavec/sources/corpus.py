@@ -136,13 +136,18 @@ def corpus_stream(
     fmt: str = "parquet",
     glob: str | None = None,
     files_per_trigger: int | None = None,
+    take: int | None = None,
 ) -> DataFrame:
-    """The corpus as an endless source: new files are picked up as they arrive."""
+    """The corpus as an endless source: new files are picked up as they arrive.
+
+    ``take`` ends it after that many rows, over all micro-batches.
+    """
     reader = spark.readStream.format(fmt).schema(schema)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder).select(
+    rows = reader.load(folder).select(
         F.col(id_col).alias("example_id"), F.col(text_col).alias("text")
     )
+    return rows if take is None else rows.limit(take)

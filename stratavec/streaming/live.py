@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stratavec.sources.catalogue import stored_form
 
-# Sub-partitions per config in one micro-batch, so a large config is not one task.
+# Sub-partitions per config in one micro-batch, so a large config is not one task;
+# raise it with the size of a micro-batch.
 CONFIG_SPLITS = 8
 
 
@@ -38,10 +39,12 @@ def run_available(
     writer.start().awaitTermination()
 
 
-def stream_capture(capture_stream: DataFrame, path: str, checkpoint: str) -> None:
+def stream_capture(
+    capture_stream: DataFrame, path: str, checkpoint: str, splits: int = CONFIG_SPLITS
+) -> None:
     """Append captured rows per config.  The file sink logs each micro-batch,
     so a batch that is retried after a failure is not written twice."""
-    split = F.pmod(F.xxhash64("example_id"), F.lit(CONFIG_SPLITS))
+    split = F.pmod(F.xxhash64("example_id"), F.lit(splits))
     rows = stored_form(capture_stream).repartition(F.col("config"), split)
     run_available(rows, path, checkpoint, ("config",))
 
