@@ -294,7 +294,9 @@ def planned(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds ``number``, 0, 1, ... among the pieces of one length."""
     n_buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    spot = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)).cast("int")
+    # the content too, as many rows may lack an id
+    spot = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    spot = F.pmod(spot, F.lit(n_buckets)).cast("int")
     rows = rows.withColumn("_bucket", spot)
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
