@@ -13,8 +13,9 @@ Several starts run side by side; the one with the smallest determinant wins.
 Defined cases: a null text has no words (and fails the word count); null
 languages and sources are groups of their own; rows of a group with fewer than
 ``MIN_GROUP`` rows that pass the fixed rules are judged by the estimate of their
-whole language, and by the fixed rules alone where that is as small.  Repeated
-rows are judged one by one.
+whole language, where that is as small by the estimate of all rows, and by the
+fixed rules alone only if fewer than ``MIN_GROUP`` rows of the whole table pass
+them.  Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ MAX_STEPS = 6
 CUTOFF_QUANTILE = 1 - 1e-9
 # bins of distance per doubling
 BINS_PER_DOUBLING = 32
+# the group of all rows; keys of languages and sources start otherwise
+EVERY = "*"
 # differences smaller than these are never what rejects a text
 SCALES = (0.05, 0.015, 0.03, 0.03, 0.10)
 N_STATS = len(SCALES)
@@ -258,8 +261,10 @@ def covariance_fits(rows: DataFrame) -> DataFrame:
 
 def _with_groups(rows: DataFrame) -> DataFrame:
     language = _key("lang")
-    return rows.withColumn("_all", language).withColumn(
-        "_own", F.concat_ws("|", language, _key("source"))
+    return (
+        rows.withColumn("_all", language)
+        .withColumn("_own", F.concat_ws("|", language, _key("source")))
+        .withColumn("_every", F.lit(EVERY))
     )
 
 
@@ -272,7 +277,7 @@ def judged(table: DataFrame) -> DataFrame:
     narrow = _with_groups(
         table.filter(~F.col("_failed")).select("lang", "source", F.col("_q.x").alias("x"))
     )
-    rows = narrow.select(F.explode(F.array("_own", "_all")).alias("grp"), "x")
+    rows = narrow.select(F.explode(F.array("_own", "_all", "_every")).alias("grp"), "x")
     fits = stored(covariance_fits(stored(rows, "quality-vectors")), "quality-fits")
     usable = fits.filter(F.col("n_rows") >= MIN_GROUP)
     side = lambda key: usable.select(
@@ -283,12 +288,13 @@ def judged(table: DataFrame) -> DataFrame:
         _with_groups(table)
         .join(side("_own"), "_own", "left")
         .join(side("_all"), "_all", "left")
-        .withColumn("_fit", F.coalesce("_own_fit", "_all_fit"))
+        .join(F.broadcast(side("_every")), "_every", "left")
+        .withColumn("_fit", F.coalesce("_own_fit", "_all_fit", "_every_fit"))
         .withColumn("_distance", _distance(F.col("_q.x"), F.col("_fit.centre"), F.col("_fit.inverse")))
         .withColumn(
             "_kept", ~F.col("_failed") & F.coalesce(F.col("_distance") <= cutoff, F.lit(True))
         )
-        .drop("_own", "_all", "_own_fit", "_all_fit", "_fit")
+        .drop("_own", "_all", "_every", "_own_fit", "_all_fit", "_every_fit", "_fit")
     )
 
 

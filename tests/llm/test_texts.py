@@ -288,6 +288,27 @@ def test_quality_rules(spark, docs_of):
     assert quality_rules.keep_regular(docs_of(texts).limit(0)).collect() == []
 
 
+def test_quality_rules_judge_small_languages_by_all_rows(spark):
+    """Junk of a rare or null language is found by the estimate of the whole table."""
+    rnd = random.Random(10)
+
+    def clean():
+        return " ".join("".join(rnd.choice("etaoin") for _ in range(rnd.randint(2, 8))) for _ in range(90)) + "."
+
+    junk = [" ".join("#|*" * 3 + str(rnd.random()) for _ in range(80)) for _ in range(4)]
+    rows = [(k, clean(), "en") for k in range(120)]
+    rows += [(200 + k, clean(), "de") for k in range(20)] + [(300 + k, clean(), None) for k in range(5)]
+    rows += [(1000 + k, t, lang) for k, (t, lang) in enumerate(zip(junk, ("de", None, "fr", "en")))]
+    frame = spark.createDataFrame([(*r, "web") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.verdicts(frame).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [k for k in got if got[k]["kept"] != (k < 1000)] == []
+    assert all(r["distance"] is not None for r in got.values())
+    # with fewer rows in all there is nothing to estimate from
+    few = quality_rules.verdicts(frame.filter("lang = 'de'")).collect()
+    assert len(few) == 21 and all(r["kept"] and r["distance"] is None for r in few)
+
+
 def test_covariance_fit_equals_plain_concentration(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(400, quality_rules.N_STATS)) * 0.3
