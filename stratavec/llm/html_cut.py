@@ -9,7 +9,9 @@ cut, found by maximum flow, is the cheapest labelling.
 Costs come from a logistic classifier over what a block looks like (length,
 links, punctuation, element, place), trained on the blocks of at most
 ``SAMPLE_PAGES`` pages (the documented bound) whose elements tell what they are,
-and from those elements themselves, which weigh more.
+and from what those elements say.  That is a cost of the size of the others: tags
+say more than class words, and words that are only part of a name say less, so
+looks and neighbours can outvote each of them.
 
 Inside a block white space becomes one space; blocks are joined by an empty line.
 Defined cases: a null page is the empty page, whose text is empty; unclosed
@@ -36,8 +38,13 @@ SAMPLE_PAGES = 500
 TRAINING_STEPS = 300
 NEIGHBOUR_WEIGHT = 0.6
 PARENT_WEIGHT = 0.9
-# log-odds that an element's own meaning adds to the classifier's
-EVIDENCE = 12.0
+# log-odds that an element's meaning adds to the classifier's: by a boilerplate tag,
+# by a tag or class of main text (which often holds some boilerplate), by a class of
+# boilerplate, by a word within a class name such as has-sidebar
+TAG_EVIDENCE = 3.0
+MAIN_EVIDENCE = 2.0
+WORD_EVIDENCE = 2.5
+PART_EVIDENCE = 1.5
 LARGEST_COST = 4.0
 # an edge with less left is full
 SMALLEST_ROOM = 1e-9
@@ -85,27 +92,50 @@ class Block:
     linked: int  # characters inside links
     parent: int  # number of the element that holds it
     tag: str
-    meaning: int  # 1 main, -1 boilerplate, 0 unknown
+    meaning: float  # evidence for main text; below 0 for boilerplate, 0 unknown
 
 
-def _meaning(tag: str, attributes: str, above: int) -> int:
-    """What an element says about its content; boilerplate is never undone."""
-    if above < 0 or tag in _OTHER_TAGS or (tag == "header" and above <= 0):
-        return -1
-    words: set[str] = set()
-    if attributes and "=" in attributes:
+def _named(names: set[str]) -> tuple[float, float]:
+    """Evidence of class names for main text and for boilerplate."""
+    main = other = 0.0
+    for name in names:
+        words = set(_NAME.findall(name))
+        if words & _OTHER_WORDS:  # a post-footer is a footer
+            other = max(other, WORD_EVIDENCE if words <= _OTHER_WORDS else PART_EVIDENCE)
+        elif words & _MAIN_WORDS:
+            main = max(main, MAIN_EVIDENCE if words <= _MAIN_WORDS else PART_EVIDENCE)
+    return main, other
+
+
+def _meaning(tag: str, attributes: str, above: float) -> float:
+    """Evidence of an element for its content.
+
+    A boilerplate tag holds for all below it.  Boilerplate words hold until an
+    article or main element without such words.
+    """
+    if above <= -TAG_EVIDENCE:
+        return above
+    if tag in _OTHER_TAGS or (tag == "header" and above <= 0):
+        return -TAG_EVIDENCE
+    names: set[str] = set()
+    if attributes and "=" in attributes and tag not in ("html", "body"):
         for value in _ATTRIBUTE.findall(attributes):
-            words.update(_NAME.findall(value.lower()))
-    if words & _OTHER_WORDS and tag not in ("html", "body"):
-        return -1
-    if tag in _MAIN_TAGS or words & _MAIN_WORDS and tag not in ("html", "body"):
-        return 1
-    return above
+            names.update(value.strip("\"'").lower().split())
+    main, other = _named(names)
+    if tag in _MAIN_TAGS and not (other and above < 0):
+        return MAIN_EVIDENCE + min(main - other, 0.0)
+    if other > main:
+        return max(min(above, 0.0) - (other - main), -WORD_EVIDENCE)
+    if above < 0:
+        return above
+    if other:
+        return main - other
+    return max(above, main)
 
 
 def page_blocks(html: str) -> list[Block]:
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, meaning
+    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, number, meaning
     parts: list[str] = []
     linked = numbers = links = 0
     at, n = 0, len(html)
@@ -213,7 +243,8 @@ def train(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def _sample(html: str) -> tuple[list[float], list[int]]:
-    blocks = [b for b in page_blocks(html) if b.meaning]
+    # words that are only part of a name do not teach
+    blocks = [b for b in page_blocks(html) if abs(b.meaning) > PART_EVIDENCE]
     return block_features(blocks).ravel().tolist(), [int(b.meaning > 0) for b in blocks]
 
 
@@ -308,7 +339,7 @@ def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     if not n:
         return []
     odds = np.clip(block_features(blocks) @ weights, -LARGEST_COST, LARGEST_COST)
-    odds = odds + EVIDENCE * np.array([b.meaning for b in blocks])
+    odds = odds + np.array([b.meaning for b in blocks])
     network = FlowNetwork(n)
     for i, value in enumerate(odds.tolist()):
         # a label's cost beyond the other's; what both cost is paid either way

@@ -428,6 +428,40 @@ def test_html(spark):
     assert html_cut.extract(frame.limit(0)).collect() == []
 
 
+def test_html_words_and_tags_can_be_outvoted(spark):
+    """Ambiguous class words lose no article, unmarked link lists in one are cut out."""
+    one, two = "A first sentence, which is long.", "The second sentence, no shorter than that."
+    text = f"<h1>Title</h1><p>{one}</p><p>{two}</p>"
+    menu = "".join(f"<li><a href=/s{k}>Section {k}</a></li>" for k in range(6))
+    rest = f"<nav><ul>{menu}</ul></nav>%s<footer>&copy; me</footer>"
+    links = "".join(f"<li><a href=/{k}>Read number {k}</a></li>" for k in range(4))
+    pages = [
+        f"<div class='content has-sidebar'>{text}</div>",
+        f"<div class='page sticky-header'>{text}</div>",
+        f"<div class='page sticky-header'><div id=with-sidebar><article>{text}</article></div></div>",
+        f"<div class='has-sidebar'><main>{text}</main><div class=sidebar>{links}</div></div>",
+        f"<article class='post related'>{text}</article>",
+        f"<article><h1>Title</h1><p>{one}</p><ul>{links}</ul><p>{two}</p></article>",
+        f"<article>{text}<div><ul>{links}</ul></div></article>",
+    ]
+    rows = [(-k, "u", rest % f"<article>{text}</article>") for k in range(1, 30)]
+    rows += [(k, "u", rest % page) for k, page in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_cut.extract(frame).collect()}
+    assert {k: t for k, t in got.items() if t != f"Title\n\n{one}\n\n{two}"} == {}
+
+
+def test_html_boilerplate_stays_boilerplate():
+    """A boilerplate tag and repeated words are not undone by words below."""
+    low = lambda html: [b.meaning < 0 for b in html_cut.page_blocks(html)]
+    assert low("<aside><article><p>x</p></article></aside>") == [True]
+    assert low("<div class=comments><article class=comment-body><p>x</p></article></div>") == [True]
+    assert low("<div class=comments><div class=content><p>x</p></div></div>") == [True]
+    assert low("<article><p>x</p><div class=post-footer>y</div></article>") == [False, True]
+    deep = html_cut.page_blocks("<div class=ad>" * 9 + "x")
+    assert deep[0].meaning == -html_cut.WORD_EVIDENCE
+
+
 def test_minimum_cut_equals_brute_force():
     rnd = random.Random(8)
     for _ in range(60):
