@@ -13,6 +13,7 @@ from stratavec.llm import (
     licenses,
     line_dedup,
     packing,
+    personal_data,
     quality_rules,
     simhash,
     subword_classifier,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
     "op9_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: line_dedup.deduplicated_lines(table(spark, d, "documents")),
+    "op13_personal_data": lambda spark, d: personal_data.personal_data(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -42,4 +44,5 @@ ORACLES: dict[str, str] = {
     "op2_preference_format": chat.ORACLE,
     "op4_license_scan": licenses.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op13_personal_data": personal_data.ORACLE,
 }
