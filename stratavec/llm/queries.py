@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratavec.llm import (
     bpe_prefix,
     chat,
+    filter_audit,
     html_cut,
     licenses,
     line_dedup,
@@ -18,6 +19,7 @@ from stratavec.llm import (
     simhash,
     subword_classifier,
     topk,
+    turn_repair,
 )
 from stratavec.llm.common import table
 
@@ -36,6 +38,12 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
     "op9_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: line_dedup.deduplicated_lines(table(spark, d, "documents")),
+    "op11_turn_repair": lambda spark, d: turn_repair.repair_report(
+        table(spark, d, "conversations")
+    ),
+    "op12_filter_audit": lambda spark, d: filter_audit.audit(
+        table(spark, d, "documents"), table(spark, d, "labels")
+    ),
     "op13_personal_data": lambda spark, d: personal_data.personal_data(table(spark, d, "documents")),
 }
 
@@ -44,5 +52,7 @@ ORACLES: dict[str, str] = {
     "op2_preference_format": chat.ORACLE,
     "op4_license_scan": licenses.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
     "op13_personal_data": personal_data.ORACLE,
 }
