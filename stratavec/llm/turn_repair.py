@@ -113,7 +113,10 @@ def _same_conversation(left: DataFrame, right: DataFrame) -> Column:
 
 
 def blocks_of(placed: DataFrame) -> DataFrame:
-    """One row per block: initials, faults and turns of its rows, in order."""
+    """One row per block of a conversation: initials, faults, turns of its rows, in order.
+
+    Conversations may share the number of a block, not its rows.
+    """
     narrow = placed.select(
         "conv_id", "block", "spot", F.substring("role", 1, 1).alias("initial"), "fault", "turn"
     )
@@ -134,12 +137,12 @@ def blocks_of(placed: DataFrame) -> DataFrame:
         "rows",
         F.coalesce("firsts", F.array().cast("array<bigint>")).alias("firsts"),
     )
-    # blocks of a conversation in order, and its first block as its name
+    # blocks of a conversation in order, and its first spot as its name
     chain = Window.partitionBy("conv_id").orderBy("block")
     return joined.select(
         "conv_id",
         "block",
-        F.min("block").over(chain).alias("chain"),
+        F.min(F.get("rows", 0)["spot"]).over(chain).alias("chain"),
         (F.row_number().over(chain) - 1).cast("bigint").alias("idx"),
         F.col("rows.spot").alias("spots"),
         F.col("rows.initial").alias("initials"),
