@@ -14,9 +14,18 @@ from pyspark.sql import functions as F
 from stratavec.defaults import KEY_TILE, Layout
 from stratavec.functions.vectors import dot, soft_cap
 
+# positions of a tile in which rows look for their run
+RUN_TILE = 256
+
 # exp(EXP_STEP / 2) times any number of keys is far below the largest double
 EXP_STEP = 500.0
 QUERY_ROW = ("example_id", "layer", "head", "q_position")
+# what a side may carry besides its vectors
+_CARRIED = ("n_tokens", "run_start", "run_end")
+
+
+def _carried(capture: DataFrame) -> list[str]:
+    return [c for c in _CARRIED if c in capture.columns]
 
 
 def query_side(capture: DataFrame, layout: Layout) -> DataFrame:
@@ -27,6 +36,7 @@ def query_side(capture: DataFrame, layout: Layout) -> DataFrame:
         F.floor(F.col("head") / F.lit(layout.queries_per_key)).cast("int").alias("key_head"),
         F.col("position").alias("q_position"),
         F.col("vector").alias("q_vector"),
+        *[c for c in _carried(capture) if c != "n_tokens"],
     )
 
 
@@ -37,6 +47,7 @@ def key_side(capture: DataFrame) -> DataFrame:
         F.col("head").alias("key_head"),
         F.col("position").alias("k_position"),
         F.col("vector").alias("k_vector"),
+        *_carried(capture),
     )
 
 
@@ -53,6 +64,17 @@ def _with_logit(pairs: DataFrame, layout: Layout, softcap: float | None) -> Data
     return pairs.withColumn("logit", logit).drop("q_vector", "k_vector", "_block")
 
 
+def _with_last_tile(keys: DataFrame, queries: DataFrame, tile: int) -> DataFrame:
+    """Adds ``_last``, the tile of the last query that a key's sequence may have."""
+    if "n_tokens" in keys.columns:
+        # known from the sequence itself: nothing has to be worked out from the queries
+        last = F.floor((F.col("n_tokens") - 1) / F.lit(tile)).cast("int")
+        return keys.withColumn("_last", last).drop("n_tokens")
+    own = ["example_id", "layer", "key_head"]
+    ends = queries.groupBy(*own).agg(F.max(_block("q_position", tile)).alias("_last"))
+    return keys.join(ends, own)
+
+
 def causal_pairs(
     queries: DataFrame,
     keys: DataFrame,
@@ -64,25 +86,63 @@ def causal_pairs(
 
     Both sides are cut into tiles of ``tile`` positions and meet per pair of
     tiles: a query is sent to the key tiles up to its own, a key to the query
-    tiles from its own up to that of the sequence's last query.  A sequence
+    tiles from its own up to the last one of the sequence.  A sequence
     shorter than a tile is not replicated at all, and no join key of a longer one
     holds more than the pairs of two tiles (times the query heads of a key head).
+
+    Keys that carry ``n_tokens`` know the last tile; otherwise it is that of the
+    last query, which takes another pass over the queries.
+
+    Sides that carry ``run_start`` and ``run_end`` (see ``with_runs``) also see
+    each other both ways inside a run: the tiles of the run are added to those
+    that a row is sent to, so a pair still meets once.
     """
+    both_ways = "run_start" in queries.columns
     own = ["example_id", "layer", "key_head"]
-    ends = queries.groupBy(*own).agg(F.max(_block("q_position", tile)).alias("_last"))
-    visited = F.explode(F.sequence(F.lit(0), _block("q_position", tile)))
-    block = _block("k_position", tile)
-    reached = F.explode(F.sequence(F.col("_block"), F.greatest("_last", "_block")))
+    q_tile, k_tile = _block("q_position", tile), _block("k_position", tile)
+    first, last, seen = k_tile, F.greatest("_last", k_tile), q_tile
+    if both_ways:
+        first = F.least(k_tile, _block("run_start", tile))
+        seen = F.greatest(q_tile, _block("run_end", tile))
     sent = (
-        keys.withColumn("_block", block).join(ends, own).withColumn("_q_block", reached).drop("_last")
+        _with_last_tile(keys, queries, tile)
+        .withColumn("_q_block", F.explode(F.sequence(first, last)))
+        .withColumn("_block", k_tile)
+        .drop("_last", "run_start", "run_end")
     )
     pairs = (
-        queries.withColumn("_q_block", _block("q_position", tile))
-        .withColumn("_block", visited)
+        queries.drop("n_tokens")
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), seen)))
+        .withColumn("_q_block", q_tile)
         .join(sent, [*own, "_block", "_q_block"])
         .drop("_q_block")
     )
-    return _with_logit(pairs.filter("k_position <= q_position"), layout, softcap)
+    visible = F.col("k_position") <= F.col("q_position")
+    if both_ways:
+        visible = visible | F.col("k_position").between(F.col("run_start"), F.col("run_end"))
+        pairs = pairs.filter(F.coalesce(visible, F.lit(False))).drop("run_start", "run_end")
+        return _with_logit(pairs, layout, softcap)
+    return _with_logit(pairs.filter(visible), layout, softcap)
+
+
+def with_runs(side: DataFrame, spans: DataFrame, position: str, tile: int = RUN_TILE) -> DataFrame:
+    """Adds the run that a row lies in, null outside: an interval join.
+
+    ``spans(example_id, run_start, run_end)`` are disjoint within an example.  A
+    span is sent to the tiles it covers and a row to its own, so they meet by an
+    equal key and each row finds at most one span.
+    """
+    covered = F.sequence(_block("run_start", tile), _block("run_end", tile))
+    sent = spans.select("example_id", "run_start", "run_end", F.explode(covered).alias("_tile"))
+    rows = side.withColumn("_tile", _block(position, tile))
+    inside = (
+        (rows["example_id"] == sent["example_id"])
+        & (rows["_tile"] == sent["_tile"])
+        & rows[position].between(sent["run_start"], sent["run_end"])
+    )
+    return rows.join(sent, inside, "left").select(
+        *[rows[c] for c in side.columns], sent["run_start"], sent["run_end"]
+    )
 
 
 def window_pairs(
@@ -97,11 +157,17 @@ def window_pairs(
 
     A key can only be near queries of its own block and the neighbouring ones,
     so it is sent to those; each query has one block, so no pair is doubled.
+    Sides that carry runs (see ``with_runs``) also see each other inside a run:
+    a key is sent to the blocks of its run as well.
     """
+    both_ways = "run_start" in queries.columns
     block = _block("k_position", window)
-    reach = [block, block + 1] + ([block - 1] if bidirectional else [])
-    pairs = queries.withColumn("_block", _block("q_position", window)).join(
-        keys.withColumn("_block", F.explode(F.array(*reach))),
+    reach = F.array(*([block, block + 1] + ([block - 1] if bidirectional else [])))
+    if both_ways:
+        run = F.sequence(_block("run_start", window), _block("run_end", window))
+        reach = F.when(F.col("run_start").isNull(), reach).otherwise(F.array_union(reach, run))
+    pairs = queries.drop("n_tokens").withColumn("_block", _block("q_position", window)).join(
+        keys.withColumn("_block", F.explode(reach)).drop("n_tokens", "run_start", "run_end"),
         ["example_id", "layer", "key_head", "_block"],
     )
     distance = F.col("q_position") - F.col("k_position")
@@ -109,7 +175,11 @@ def window_pairs(
         near = F.abs(distance) < window
     else:
         near = (distance >= 0) & (distance < window)
-    return _with_logit(pairs.filter(near), layout, softcap)
+    if both_ways:
+        near = F.coalesce(
+            near | F.col("k_position").between(F.col("run_start"), F.col("run_end")), F.lit(False)
+        )
+    return _with_logit(pairs.filter(near).drop("run_start", "run_end"), layout, softcap)
 
 
 def logit_rows(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from stratavec.defaults import KINDS, SLIDING, Layout
 from stratavec.functions.vectors import head_slice, to_float32
 from stratavec.operators.heads import attach_heads
 from stratavec.operators.rotary import bounded_layers
+from stratavec.operators.vector_store import require_unique
 
 
 # vectors broadcast for frequent tokens: 1000 of 128 floats are half a megabyte
@@ -76,6 +76,12 @@ def found_vector(vector: Column, *key: str) -> Column:
     return F.when(vector.isNotNull(), vector).otherwise(missing.cast("array<float>"))
 
 
+def place_in_row(row: Column, width: int, layout: Layout) -> Column:
+    """The vector at ``slot`` of a vector table's row; a missing row is an error."""
+    size = (F.lit(width) / _slots(width, layout)).cast("int")
+    return F.slice(found_vector(row, "vec_id"), F.col("slot") * size + 1, size)
+
+
 @dataclass
 class LookupEncoder:
     """Encoder that takes flat vectors from a table ``(vec_id, embedding)``, whose
@@ -111,6 +117,8 @@ class LookupEncoder:
         ).first()
         if n and (least, most) != (0, n - 1):
             raise ValueError(f"vector ids must be 0 .. {n - 1}, got {least} .. {most}")
+        # an id on two rows would double the sample
+        require_unique(vectors, ("vec_id",))
         if narrow != wide:
             raise ValueError(f"vectors of {narrow} and of {wide} entries in one table")
         return cls(vectors, n, hot, layout or Layout(), wide or 0)
@@ -123,9 +131,7 @@ class LookupEncoder:
             joined = keyed.join(source, "vec_id", "left")
         else:
             joined = self._joined_hot(keyed, source)
-        found = found_vector(F.col("flat"), "vec_id")
-        size = (F.lit(width) / _slots(width, self.layout)).cast("int")
-        part = F.slice(found, F.col("slot") * size + 1, size)
+        part = place_in_row(F.col("flat"), width, self.layout)
         return joined.withColumn("flat", part).drop("slot")
 
     def _joined_hot(self, keyed: DataFrame, source: DataFrame) -> DataFrame:
@@ -182,57 +188,6 @@ class BatchEncoder:
         return rows.withColumn("flat", flat("token_str", "layer", "kind", "position"))
 
 
-@dataclass
-class SequenceEncoder:
-    """Encoder around a Python model that sees the whole sequence.
-
-    ``model(tokens, layer, kind, positions)`` returns one flat vector per
-    position and is called once per sequence, layer and kind.  ``examples`` has
-    ``(example_id, tokens)``.  Sampled rows meet their sequence by its id, so a
-    task never holds more than the sampled rows of the sequences in an Arrow
-    batch (``spark.sql.execution.arrow.maxRecordsPerBatch``).  Only vectors of
-    sampled positions leave the task.  A sampled row without its sequence is an
-    error.  For batches only: a stream cannot gather the rows of an example.
-    """
-
-    model: Callable[[list[str], int, str, np.ndarray], np.ndarray]
-    examples: DataFrame
-
-    def encode(self, rows: DataFrame) -> DataFrame:
-        model = self.model
-
-        def vectors(tokens, layers, kinds, positions) -> list[list[float]]:
-            if tokens is None:
-                raise ValueError("sampled rows of an example without tokens")
-            places: dict[tuple[int, str], list[int]] = {}
-            for i, key in enumerate(zip(layers, kinds)):
-                places.setdefault(key, []).append(i)
-            out: list[list[float]] = [[] for _ in positions]
-            for (layer, kind), spots in places.items():
-                wanted = np.array([positions[i] for i in spots], dtype=np.int64)
-                found = np.asarray(model(tokens, layer, kind, wanted), dtype=np.float32)
-                if len(found) != len(spots):
-                    raise ValueError(f"{len(found)} vectors for {len(spots)} positions")
-                for i, vector in zip(spots, found.tolist()):
-                    out[i] = vector
-            return out
-
-        @F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-        def flats(tokens: pa.Array, layer: pa.Array, kind: pa.Array, position: pa.Array) -> pa.Array:
-            columns = [c.to_pylist() for c in (tokens, layer, kind, position)]
-            return pa.array(
-                [vectors(*row) for row in zip(*columns)], pa.list_(pa.list_(pa.float32()))
-            )
-
-        gathered = rows.groupBy("example_id").agg(F.collect_list(F.struct(*rows.columns)).alias("_r"))
-        tokens = self.examples.select("example_id", "tokens")
-        encoded = gathered.join(tokens, "example_id", "left").select(
-            "_r", flats("tokens", "_r.layer", "_r.kind", "_r.position").alias("_v")
-        )
-        pairs = encoded.select(F.explode(F.arrays_zip("_r", "_v")).alias("_p"))
-        return pairs.select("_p._r.*", F.col("_p._v").alias("flat"))
-
-
 def split_heads(rows: DataFrame, n_heads: int, head_dim: int, flat: str = "flat") -> DataFrame:
     """One row per head of a flat projection."""
     return (
@@ -258,14 +213,21 @@ def gather_vectors(
     vectors: DataFrame,
     on: tuple[str, ...] = ("example_id", "layer", "kind", "position"),
     selected: DataFrame | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """Vectors of the active heads at the sampled positions only.
 
     ``vectors`` has a row per head.  Heads that are not selected are left out
     before the join: on the vector side if it knows its layer, otherwise by
     giving each sampled row just the active heads of its layer and kind.  The
-    sample is the left side, and a position without a vector is an error.
+    sample is the left side, and a position without a vector is an error.  So is a
+    key with two vectors, which would double rows: the keys alone are read for it
+    first, unless ``checked`` says that was done.
     """
+    if not checked:
+        head = {"head"} & set(vectors.columns) - set(on)
+        layer = {"layer", "kind"} & set(vectors.columns) - set(on) if head else set()
+        require_unique(vectors, (*on, *sorted(head | layer)))
     if selected is None:
         return _with_vectors(sampled, vectors, on)
     chosen = selected.select("layer", "head", "kind")

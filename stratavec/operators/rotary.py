@@ -10,8 +10,11 @@ from stratavec.functions.vectors import (
     frequencies,
     query_scale,
     rotate_halves_by,
+    rotate_halves_turned,
     rotate_pairs_by,
+    rotate_pairs_turned,
     scale_vector,
+    turns,
 )
 
 
@@ -43,22 +46,48 @@ def rotate_capture(
     are paired and only the first entries turn, otherwise halves are paired.
     The frequencies are worked out once per layer and travel with its row.
     """
-    vector, position, rates = F.col("vector"), F.col("position"), F.col("_rates")
+    vector, position, own_rates = F.col("vector"), F.col("position"), F.col("_rates")
     if rotary_dim is None:
-        turned = rotate_halves_by(vector, position, layout.head_dim, rates)
+        turned = rotate_halves_by(vector, position, layout.head_dim, own_rates)
     else:
-        turned = rotate_pairs_by(vector, position, layout.head_dim, rotary_dim, rates)
+        turned = rotate_pairs_by(vector, position, layout.head_dim, rotary_dim, own_rates)
     out = F.when(F.col("use_rope"), turned).otherwise(vector.cast("array<double>"))
-    turns = layers.withColumn(
+    rates = layers.withColumn(
         "_rates", frequencies(rotary_dim or layout.head_dim, F.col("rope_theta"))
     )
     return (
-        capture.join(bounded_layers(turns, "_rates", "use_rope"), "layer")
+        capture.join(bounded_layers(rates, "_rates", "use_rope"), "layer")
         .withColumn("vector", out)
         .drop("_rates", "use_rope")
     )
 
 
+def with_turns(
+    rows: DataFrame, layers: DataFrame, layout: Layout, rotary_dim: int | None = None
+) -> DataFrame:
+    """Adds ``turns`` to rows without heads: cosine and sine of each pair at the row's
+    position, with the base of its layer; null where the layer does not rotate."""
+    rates = layers.withColumn(
+        "_rates", frequencies(rotary_dim or layout.head_dim, F.col("rope_theta"))
+    )
+    joined = rows.join(bounded_layers(rates, "_rates", "use_rope"), "layer")
+    own = F.when(F.col("use_rope"), turns(F.col("position"), F.col("_rates")))
+    return joined.withColumn("turns", own).drop("_rates", "use_rope")
+
+
+def rotate_turned(
+    capture: DataFrame, layout: Layout, rotary_dim: int | None = None
+) -> DataFrame:
+    """Rotate vectors that carry the ``turns`` of their position."""
+    vector, own = F.col("vector"), F.col("turns")
+    if rotary_dim is None:
+        turned = rotate_halves_turned(vector, layout.head_dim, own)
+    else:
+        turned = rotate_pairs_turned(vector, layout.head_dim, rotary_dim, own)
+    out = F.when(own.isNotNull(), turned).otherwise(vector.cast("array<double>"))
+    return capture.withColumn("vector", out).drop("turns")
+
+
 def scale_queries(capture: DataFrame, beta: float, max_position: int) -> DataFrame:
     """Position-dependent scale of rotated query vectors; keys pass unchanged."""
     scale = query_scale(F.col("position"), beta, max_position)

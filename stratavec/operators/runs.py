@@ -56,6 +56,16 @@ def run_groups(
     )
 
 
+def spans_of_runs(grouped: DataFrame, key: str, order: str) -> DataFrame:
+    """First and last place of every run, ``(key, run_start, run_end)``: partial sums."""
+    return (
+        grouped.filter("run_group >= 0")
+        .groupBy(key, "run_group")
+        .agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"))
+        .drop("run_group")
+    )
+
+
 def run_spans(grouped: DataFrame, key: str, order: str, block: int = ORDER_BLOCK) -> DataFrame:
     """Rows of one run see each other both ways: per row, the span it sees.
 

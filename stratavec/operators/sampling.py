@@ -155,6 +155,55 @@ def sample_capped_in_row(
     )
 
 
+def sampled_in_row(
+    examples: DataFrame,
+    layers: Sequence[int],
+    kinds: Sequence[str],
+    strategy: Strategy,
+    seed: int = 0,
+    limit: int | None = None,
+) -> DataFrame:
+    """Adds ``wanted``: the sampled positions of every (layer, kind), in the row of the
+    example.
+
+    The same positions as ``cap_rows(sample_shared(...))``, in ascending order.
+    """
+    groups = F.array(
+        *[F.struct(F.lit(int(x)).alias("layer"), F.lit(k).alias("kind")) for x in layers for k in kinds]
+    )
+
+    def seeded(g: Column) -> Column:
+        key = (F.col("example_id"), g["layer"], g["kind"])
+        seeds = [*group_seeds(seed, *key), *group_seeds(seed, *key, F.lit("cap"))]
+        return F.struct(
+            g["layer"].alias("layer"),
+            g["kind"].alias("kind"),
+            *[s.alias(n) for s, n in zip(seeds, ("s1", "s2", "c1", "c2"))],
+        )
+
+    def chosen(g: Column) -> Column:
+        def keep(p: Column) -> Column:
+            condition = strategy.keep(uniform_draw(g["s1"], g["s2"], p), p)
+            return F.lit(True) if condition is None else condition
+
+        positions = F.coalesce(F.filter(position_range(), keep), F.array().cast("array<int>"))
+        if limit is not None and limit > 0:
+            ranked = F.transform(
+                positions,
+                lambda p: F.struct(uniform_draw(g["c1"], g["c2"], p).alias("draw"), p.alias("position")),
+            )
+            first = F.slice(F.array_sort(ranked), 1, limit)
+            positions = F.array_sort(F.transform(first, lambda r: r["position"]))
+        return F.struct(
+            g["layer"].alias("layer"), g["kind"].alias("kind"), positions.alias("positions")
+        )
+
+    # seeds are worked out once per group, not once per position
+    return examples.withColumn("_groups", F.transform(groups, seeded)).select(
+        *examples.columns, F.transform("_groups", chosen).alias("wanted")
+    )
+
+
 Predicate = Callable[[Column, Column], Column]
 MaskFunction = Callable[[np.ndarray, np.ndarray], np.ndarray]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from stratavec.operators.sampling import (
     cap_rows,
     sample_capped_in_row,
     sample_shared,
+    sampled_in_row,
     sampler_by_name,
     sequence_groups,
 )
@@ -32,6 +34,10 @@ class Encoder(Protocol):
     def encode(self, rows: DataFrame) -> DataFrame: ...
 
 
+class InRowEncoder(Protocol):
+    def encode_in_row(self, sampled: DataFrame) -> DataFrame: ...
+
+
 def strategy_of(settings: CaptureSettings) -> Strategy:
     return sampler_by_name(settings.strategy, settings.base_rate, settings.bucket_size)
 
@@ -62,9 +68,12 @@ def sampled_positions(
 
 
 def sampled_tokens(
-    corpus: DataFrame, settings: CaptureSettings, tokenizer: Tokenizer = whitespace_tokens
+    corpus: DataFrame,
+    settings: CaptureSettings,
+    tokenizer: Tokenizer = whitespace_tokens,
+    lengths: bool = False,
 ) -> DataFrame:
-    """Sampled positions with token text and window.
+    """Sampled positions with token text and window, and ``n_tokens`` if wanted.
 
     The token is picked in the task that sampled it, so the text is read once
     and is neither joined back nor shuffled.
@@ -85,27 +94,77 @@ def sampled_tokens(
         "bucket",
         token_at(F.col("tokens"), F.col("position")).alias("token_str"),
         window_of_layer(settings.layout).alias("sliding_window"),
+        *(["n_tokens"] if lengths else []),
     )
     return rows if in_row else cap_rows(rows, settings.max_rows, settings.seed)
 
 
+def sequences_with_sample(
+    corpus: DataFrame, settings: CaptureSettings, tokenizer: Tokenizer = whitespace_tokens
+) -> DataFrame:
+    """``(example_id, tokens, wanted)``: every sequence with its sample in its row."""
+    examples = tokenize(corpus.select("example_id", "text"), settings.max_length, tokenizer)
+    return sampled_in_row(
+        examples,
+        captured_layers(settings),
+        settings.kinds,
+        strategy_of(settings),
+        settings.seed,
+        settings.max_rows,
+    ).select("example_id", "tokens", "wanted")
+
+
+def encoded_in_row(
+    corpus: DataFrame,
+    settings: CaptureSettings,
+    encoder: InRowEncoder,
+    tokenizer: Tokenizer = whitespace_tokens,
+) -> DataFrame:
+    """The sample with its vectors, worked out where the sequence is.
+
+    Nothing is grouped, joined or shuffled, so batch and stream have the same plan.
+    """
+    rows = encoder.encode_in_row(sequences_with_sample(corpus, settings, tokenizer))
+    return rows.select(
+        "example_id",
+        "layer",
+        "kind",
+        "position",
+        strategy_of(settings).bucket(F.col("position")).alias("bucket"),
+        "token_str",
+        window_of_layer(settings.layout).alias("sliding_window"),
+        "flat",
+    )
+
+
 def capture(
     corpus: DataFrame,
     settings: CaptureSettings,
-    encoder: Encoder,
+    encoder: Encoder | InRowEncoder,
     selected: DataFrame | None = None,
     tokenizer: Tokenizer = whitespace_tokens,
+    before_heads: Callable[[DataFrame], DataFrame] | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Scan, tokenise, sample, encode, split into heads.
 
     Vectors are joined after sampling, so the join has the size of the sample.
     With ``selected(layer, head, kind)``, layers and kinds without a selected
-    head are dropped before they are encoded.
+    head are dropped before they are encoded.  An encoder over sequences that was
+    given none of its own takes them from the corpus, row by row.
+
+    ``before_heads`` may add columns to the sampled rows, where they are worked out once
+    for all heads.  ``keep`` names columns to carry along, its own or ``n_tokens``.
     """
-    sampled = sampled_tokens(corpus, settings, tokenizer)
-    if selected is not None:
-        sampled = sampled.join(selected.select("layer", "kind"), ["layer", "kind"], "left_semi")
-    encoded = encoder.encode(sampled)
+    if hasattr(encoder, "encode_in_row") and encoder.examples is None:
+        encoded = encoded_in_row(corpus, settings, encoder, tokenizer)
+    else:
+        sampled = sampled_tokens(corpus, settings, tokenizer, "n_tokens" in keep)
+        if selected is not None:
+            sampled = sampled.join(selected.select("layer", "kind"), ["layer", "kind"], "left_semi")
+        encoded = encoder.encode(sampled)
+    if before_heads is not None:
+        encoded = before_heads(encoded)
     rows = head_vectors(encoded, settings.layout, selected)
     rows = filter_layers_heads(rows, settings.layout, None, settings.heads, settings.kinds)
     return rows.select(
@@ -119,4 +178,5 @@ def capture(
         "sliding_window",
         "token_str",
         "vector",
+        *keep,
     )

@@ -182,6 +182,23 @@ CTES: dict[str, str] = {
     # attention sides
     "qs": f"SELECT example_id, layer, head, (head // {D.LAYOUT.queries_per_key})::INT AS key_head, position AS q_position, v AS qv FROM cap WHERE kind = 'q'",
     "ks": "SELECT example_id, layer, head AS key_head, position AS k_position, v AS kv FROM cap WHERE kind = 'k'",
+    # runs of tokens without a full stop
+    "stops": (
+        "SELECT example_id, position, NOT contains(token, '.') AS flag FROM (SELECT example_id, "
+        "unnest(tokens) AS token, unnest(range(len(tokens))) AS position FROM tok)"
+    ),
+    "tokruns": (
+        "SELECT example_id, position, sum(opens) OVER (PARTITION BY example_id ORDER BY position "
+        "ROWS UNBOUNDED PRECEDING) AS run, flag FROM (SELECT *, (flag AND NOT coalesce(lag(flag) OVER "
+        "(PARTITION BY example_id ORDER BY position), false))::INT AS opens FROM stops)"
+    ),
+    "inrun": "SELECT example_id, position, run FROM tokruns WHERE flag",
+    "runpairs": (
+        "SELECT q.*, k.k_position, k.kv, rq.run AS q_run, rk.run AS k_run FROM qs q "
+        "LEFT JOIN inrun rq ON rq.example_id = q.example_id AND rq.position = q.q_position "
+        "JOIN ks k ON q.example_id = k.example_id AND q.layer = k.layer AND q.key_head = k.key_head "
+        "LEFT JOIN inrun rk ON rk.example_id = k.example_id AND rk.position = k.k_position"
+    ),
     "pairs": (
         "SELECT q.example_id, q.layer, q.head, q.key_head, q_position, k_position, "
         f"list_dot_product(qv, kv) * pow({DIM}::DOUBLE, -0.5) AS logit FROM qs q JOIN ks k "
@@ -336,6 +353,13 @@ def _window_query(condition: str) -> str:
     )
 
 
+def _run_query(condition: str) -> str:
+    return (
+        f"SELECT {LOGIT_ROWS} FROM (SELECT *, list_dot_product(qv, kv) * pow({DIM}::DOUBLE, -0.5) "
+        f"AS logit FROM runpairs WHERE {condition} OR q_run = k_run) GROUP BY 1, 2, 3, 4"
+    )
+
+
 WINDOW = D.LAYOUT.sliding_window
 _STARTS = (
     "SELECT item_id AS row_ordinal, range(item_id * 10, item_id * 10 + length(text) % 700 + 1) AS s "
@@ -478,6 +502,10 @@ _TEXTS: dict[str, str] = {
     ),
     "head_rms_norm": _vector_query(_rms(RMS_WEIGHTS)),
     "head_rms_norm_one_plus": _vector_query(_rms([1.0 + w for w in RMS_WEIGHTS])),
+    "run_visible_pairs": _run_query("k_position <= q_position"),
+    "run_visible_window_pairs": _run_query(
+        f"(k_position <= q_position AND q_position - k_position < {WINDOW})"
+    ),
     "attention_logits": f"SELECT {LOGIT_ROWS} FROM pairs GROUP BY 1, 2, 3, 4",
     "causal_pairs": (
         "SELECT example_id, layer, head, q_position, count(*) AS n_keys, min(k_position) AS first_key, "
@@ -590,8 +618,7 @@ _TEXTS: dict[str, str] = {
         "'4' AS num_layers, '4' AS num_query_heads, '2' AS num_key_heads, "
         "'0' AS full_attention_only, '2' AS sliding_layer_count, '2' AS full_layer_count, "
         "'0' AS sliding_candidates_excluded "
-        "FROM cap SEMI JOIN selected USING (layer, head, kind) WHERE example_id IN "
-        "(SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500) GROUP BY bucket"
+        "FROM cap SEMI JOIN selected USING (layer, head, kind) GROUP BY bucket"
     ),
     "session_rows": (
         f"SELECT {STORED_COUNTS} FROM (SELECT * FROM cap WHERE layer NOT IN (0, 1) UNION ALL "
@@ -604,8 +631,14 @@ _TEXTS: dict[str, str] = {
         "SELECT bucket, 1 FROM caplog) GROUP BY bucket"
     ),
     "corpus_stream_take": (
-        "SELECT least(count(*), 500) AS n_rows, least(count(DISTINCT doc_id), 500) AS n_ids "
-        "FROM documents"
+        f"SELECT doc_id AS example_id, md5(text) AS digest FROM documents LIMIT {D.MAX_SAMPLES}"
+    ),
+    "source_ordinal": (
+        "SELECT row_number() OVER () - 1 AS example_id, md5(text) AS digest FROM documents"
+    ),
+    "source_take": (
+        "SELECT row_number() OVER () - 1 AS example_id, md5(text) AS digest FROM documents "
+        f"LIMIT {D.MAX_SAMPLES}"
     ),
     "stream_session": (
         "SELECT 'live' AS branch, 'model-a' AS model_name, bucket, count(*) AS n_rows "
@@ -614,6 +647,8 @@ _TEXTS: dict[str, str] = {
     "stream_capture": f"SELECT {STORED_ROWS} FROM cap",
 }
 _TEXTS["custom_sampler_udf"] = _TEXTS["custom_sampler"]
+_TEXTS["gather_from_store"] = _TEXTS["gather_vectors"]
+_TEXTS["encode_in_row"] = _TEXTS["stream_sequences"] = _TEXTS["encode_sequences"]
 _TEXTS["stream_bucket_counts"] = _TEXTS["bucket_counts"]
 
 

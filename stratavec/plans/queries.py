@@ -24,12 +24,15 @@ from stratavec.operators import (
     rotary,
     runs,
     sampling,
+    sequences,
     statistics,
     tokens,
+    vector_store,
 )
 from stratavec.plans import run, sessions
 from stratavec.plans.capture import (
     capture,
+    encoded_in_row,
     groups_of,
     sampled_positions,
     sampled_tokens,
@@ -45,6 +48,7 @@ QUERIES: dict[str, Query] = {}
 LOG_SETTINGS = replace(D.SETTINGS, strategy="log_uniform")
 FULL_ONLY = replace(D.SETTINGS, full_attention_only=True)
 DOCUMENTS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+STORE_BUCKETS = 16
 RMS_WEIGHTS = [0.5 + i / 16 for i in range(D.LAYOUT.head_dim)]
 
 
@@ -118,6 +122,20 @@ def corpus_take(spark, folder):
     return rows.select("example_id", F.md5("text").alias("digest"))
 
 
+@register
+def source_ordinal(spark, folder):
+    """Every text with its place in the source, where there is no id."""
+    rows = corpus.scan_in_order(spark, f"{folder}/documents.parquet")
+    return rows.select("example_id", F.md5("text").alias("digest"))
+
+
+@register
+def source_take(spark, folder):
+    """The first texts as they lie."""
+    rows = corpus.scan_in_order(spark, f"{folder}/documents.parquet", limit=D.MAX_SAMPLES)
+    return rows.select("example_id", F.md5("text").alias("digest"))
+
+
 def _labelled(spark, folder):
     return corpus.with_label(documents(spark, folder, "n_chars"))
 
@@ -554,24 +572,49 @@ def batch_encode(spark, folder):
     )
 
 
+class PrefixLengths:
+    """A model that needs the sequence: lengths of a token, of the one before it, and of
+    all up to it.  A block hands on the length of its last token and its total."""
+
+    def digest(self, words):
+        return len(words[-1]), sum(map(len, words))
+
+    def merge(self, state, digest):
+        return digest[0], digest[1] + (state[1] if state else 0)
+
+    def vectors(self, words, first, state, layer, kind, positions):
+        last, total = state or (0, 0)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        rows = np.stack([sizes, np.r_[last, sizes[:-1]], total + np.cumsum(sizes)], axis=1)
+        return rows[positions - first] * (layer + 1) + (kind == "k")
+
+
 def prefix_lengths(words, layer, kind, positions):
-    """A model that needs the sequence: lengths of a token, of the one before it,
-    and of all up to it."""
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    rows = np.stack([sizes, np.r_[0, sizes[:-1]], np.cumsum(sizes)], axis=1)
-    return rows[positions] * (layer + 1) + (kind == "k")
+    """The same of a whole sequence."""
+    return PrefixLengths().vectors(words, 0, None, layer, kind, positions)
 
 
-@register
-def encode_sequences(spark, folder):
-    texts = documents(spark, folder)
-    source = gather.SequenceEncoder(prefix_lengths, tokens.tokenize(texts, None))
-    rows = source.encode(sampled_positions(texts, D.SETTINGS))
+def _prefix_lengths(rows: DataFrame) -> DataFrame:
     names = ("own_length", "previous_length", "total_length")
     values = [F.get("flat", i).cast("double").alias(n) for i, n in enumerate(names)]
     return rows.select("example_id", "layer", "kind", "position", *values)
 
 
+@register
+def encode_sequences(spark, folder):
+    """Sampled rows meet their sequences by block."""
+    texts = documents(spark, folder)
+    source = sequences.BlockEncoder(PrefixLengths(), tokens.tokenize(texts, None))
+    return _prefix_lengths(source.encode(sampled_positions(texts, D.SETTINGS)))
+
+
+@register
+def encode_in_row(spark, folder):
+    """The same where the sample stays with its sequence."""
+    source = sequences.BlockEncoder(PrefixLengths())
+    return _prefix_lengths(encoded_in_row(documents(spark, folder), D.SETTINGS, source))
+
+
 @register
 def split_heads(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("flat"))
@@ -600,6 +643,24 @@ def gather_vectors(spark, folder):
     return rows.select(*VECTOR_KEY, *digest("vector"))
 
 
+@register
+def gather_from_store(spark, folder):
+    """The same from a store that is neither shuffled nor read where it is not needed."""
+    source = encoder(spark, folder)
+    store = vector_store.VectorStore.write(
+        source.vectors, scratch_path(spark, "vector-store"), ("vec_id",), STORE_BUCKETS
+    )
+    sampled = gather.with_vector_place(
+        sampled_tokens(documents(spark, folder), D.SETTINGS), source.n_vectors, source.width, D.LAYOUT
+    )
+    chosen = default_selection(spark)
+    active = sampled.join(chosen.select("layer", "kind").distinct(), ["layer", "kind"], "left_semi")
+    found = store.gather(active).withColumn(
+        "flat", gather.place_in_row(F.col("embedding"), source.width, D.LAYOUT)
+    )
+    return gather.head_vectors(found, D.LAYOUT, chosen).select(*VECTOR_KEY, *digest("vector"))
+
+
 @register
 def vectors_float32(spark, folder):
     rows = table(spark, folder, "embeddings")
@@ -659,37 +720,47 @@ def _transformed(spark, folder, vector: Callable[[Column, Column], Column]) -> D
     return rows.select(*VECTOR_KEY, out).select(*VECTOR_KEY, *digest("out"))
 
 
+def _rotated(
+    spark, folder, layers: DataFrame, rotary_dim: int | None = None
+) -> DataFrame:
+    """The capture after the rotary step; turns are worked out before heads are split."""
+    rows = capture(
+        documents(spark, folder),
+        D.SETTINGS,
+        encoder(spark, folder),
+        before_heads=lambda rows: rotary.with_turns(rows, layers, D.LAYOUT, rotary_dim),
+        keep=("turns",),
+    )
+    return rotary.rotate_turned(rows, D.LAYOUT, rotary_dim)
+
+
+def _one_base(spark) -> DataFrame:
+    """The same base for all layers."""
+    return layer_table(spark).select(
+        "layer", F.lit(D.ROPE_THETA).alias("rope_theta"), F.lit(True).alias("use_rope")
+    )
+
+
 @register
 def rotate_half_split(spark, folder):
-    dim = D.LAYOUT.head_dim
-    return _transformed(
-        spark, folder, lambda v, p: vectors.rotate_halves(v, p, dim, D.ROPE_THETA)
-    )
+    return _rotated(spark, folder, _one_base(spark)).select(*VECTOR_KEY, *digest("vector"))
 
 
 @register
 def rotate_interleaved_partial(spark, folder):
-    dim = D.LAYOUT.head_dim
-    return _transformed(
-        spark, folder, lambda v, p: vectors.rotate_pairs(v, p, dim, dim // 2, D.ROPE_THETA)
-    )
+    rows = _rotated(spark, folder, _one_base(spark), D.LAYOUT.head_dim // 2)
+    return rows.select(*VECTOR_KEY, *digest("vector"))
 
 
 @register
 def rotate_by_layer_type(spark, folder):
-    rows = rotary.rotate_capture(captured(spark, folder), layer_table(spark), D.LAYOUT)
-    return rows.select(*VECTOR_KEY, *digest("vector"))
+    return _rotated(spark, folder, layer_table(spark)).select(*VECTOR_KEY, *digest("vector"))
 
 
 @register
 def query_position_scale(spark, folder):
     """After rotation with one base for all layers; queries only are returned."""
-    layers = layer_table(spark).select(
-        "layer", F.lit(D.ROPE_THETA).alias("rope_theta"), F.lit(True).alias("use_rope")
-    )
-    rows = rotary.rotate_capture(
-        heads.filter_kind(captured(spark, folder), keys=False), layers, D.LAYOUT
-    )
+    rows = heads.filter_kind(_rotated(spark, folder, _one_base(spark)), keys=False)
     scaled = rotary.scale_queries(rows, D.QUERY_SCALE_BETA, D.QUERY_SCALE_LENGTH)
     return scaled.select(*VECTOR_KEY, *digest("vector"))
 
@@ -712,7 +783,10 @@ def head_rms_norm_one_plus(spark, folder):
 
 
 def _sides(spark, folder):
-    rows = captured(spark, folder)
+    # keys know the length of their sequence, and with it the tiles they are sent to
+    rows = capture(
+        documents(spark, folder), D.SETTINGS, encoder(spark, folder), keep=("n_tokens",)
+    )
     return attention.query_side(rows, D.LAYOUT), attention.key_side(rows)
 
 
@@ -756,6 +830,40 @@ def sliding_window_pairs_bidirectional(spark, folder):
     return _window_pairs(spark, folder, True)
 
 
+def token_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """``(example_id, run_start, run_end)``: runs of tokens without a full stop."""
+    words = documents(spark, folder).select(
+        "example_id",
+        F.posexplode(tokens.whitespace_tokens(F.col("text"))).alias("position", "token"),
+    )
+    grouped = runs.run_groups(words, "example_id", "position", ~F.col("token").contains("."))
+    return runs.spans_of_runs(grouped, "example_id", "position")
+
+
+def _run_sides(spark, folder):
+    queries, keys = _sides(spark, folder)
+    spans = token_runs(spark, folder)
+    return (
+        attention.with_runs(queries, spans, "q_position"),
+        attention.with_runs(keys, spans, "k_position"),
+    )
+
+
+@register
+def run_visible_pairs(spark, folder):
+    """Causal pairs, and pairs of one run both ways."""
+    return _logit_rows(attention.causal_pairs(*_run_sides(spark, folder), D.LAYOUT))
+
+
+@register
+def run_visible_window_pairs(spark, folder):
+    """Pairs of one window, and pairs of one run both ways."""
+    pairs = attention.window_pairs(
+        *_run_sides(spark, folder), D.LAYOUT, D.LAYOUT.sliding_window
+    )
+    return _logit_rows(pairs)
+
+
 @register
 def attention_softmax(spark, folder):
     rows = attention.softmax_rows(*_sides(spark, folder), D.LAYOUT)
@@ -814,20 +922,31 @@ def write_capture(spark, folder):
     return _stored_rows(catalogue.read_capture(spark, _written(spark, folder)))
 
 
+def _published(spark, folder):
+    """Root of a branch ``b`` that holds a capture."""
+    root = scratch_path(spark, "published")
+    catalogue.publish_branch(captured(spark, folder), root, "b")
+    return root
+
+
+def _branch(spark, root):
+    return catalogue.read_capture(spark, catalogue.branch_path(root, "b"))
+
+
 @register
 def overwrite_configs(spark, folder):
-    path = _written(spark, folder)
+    root = _published(spark, folder)
     later = captured(spark, folder, replace(LOG_SETTINGS, layers=(0, 1)))
-    catalogue.overwrite_configs(later, path)
-    return _stored_counts(catalogue.read_capture(spark, path))
+    catalogue.replace_branch_configs(later, root, "b")
+    return _stored_counts(_branch(spark, root))
 
 
 @register
 def append_rows(spark, folder):
-    path = _written(spark, folder)
-    catalogue.append_rows(captured(spark, folder, LOG_SETTINGS), path)
-    catalogue.append_rows(captured(spark, folder, LOG_SETTINGS), path)
-    return _stored_counts(catalogue.read_capture(spark, path))
+    root = _published(spark, folder)
+    catalogue.append_to_branch(captured(spark, folder, LOG_SETTINGS), root, "b")
+    catalogue.append_to_branch(captured(spark, folder, LOG_SETTINGS), root, "b")
+    return _stored_counts(_branch(spark, root))
 
 
 @register
@@ -868,7 +987,8 @@ def bucket_counts_ledger(spark, folder):
 
 @register
 def list_configs(spark, folder):
-    return catalogue.list_configs(catalogue.read_capture(spark, _written(spark, folder)))
+    root = _published(spark, folder)
+    return catalogue.stored_configs(spark, catalogue.branch_path(root, "b"))
 
 
 def _branches(spark, folder):
@@ -960,9 +1080,9 @@ def publish_branch(spark, folder):
 
 @register
 def reset_root(spark, folder):
-    path = _written(spark, folder)
-    catalogue.reset_root(captured(spark, folder, FULL_ONLY), path)
-    return _stored_counts(catalogue.read_capture(spark, path))
+    root = _published(spark, folder)
+    catalogue.publish_branch(captured(spark, folder, FULL_ONLY), root, "b")
+    return _stored_counts(_branch(spark, root))
 
 
 @register
@@ -984,12 +1104,10 @@ def capture_run(spark, folder):
 
 @register
 def capture_run_sampled(spark, folder):
-    """A run that numbers, takes and selects by itself, with its record."""
+    """A run that prepares its ids and draws its heads by itself, with its record."""
     root = scratch_path(spark, "run-sampled")
     run.run_capture(
-        run.run_corpus(
-            table(spark, folder, "documents"), "doc_id", max_samples=D.MAX_SAMPLES
-        ),
+        run.run_corpus(table(spark, folder, "documents"), "doc_id"),
         D.SETTINGS,
         encoder(spark, folder),
         root=root,
@@ -1049,14 +1167,14 @@ def session_counts(spark, folder):
 
 @register
 def corpus_stream_take(spark, folder):
-    """The stream ends after the rows taken; which they are is up to their order."""
+    """The first rows of a stream, as they lie in its file."""
     path, state = scratch_path(spark, "taken"), scratch_path(spark, "taken-state")
     rows = corpus.corpus_stream(
-        spark, folder, DOCUMENTS_SCHEMA, glob="documents.parquet", take=D.MAX_SAMPLES
+        spark, folder, DOCUMENTS_SCHEMA, glob="documents.parquet", places=True
     )
-    live.run_available(rows, path, state)
+    live.run_taken(rows, D.MAX_SAMPLES, path, state)
     got = spark.read.schema("example_id bigint, text string").parquet(path)
-    return got.agg(F.count("*").alias("n_rows"), F.count_distinct("example_id").alias("n_ids"))
+    return got.select("example_id", F.md5("text").alias("digest"))
 
 
 @register
@@ -1081,6 +1199,16 @@ def stream_capture(spark, folder):
     return _stored_rows(catalogue.read_capture(spark, path))
 
 
+@register
+def stream_sequences(spark, folder):
+    """A model that sees whole sequences, on a stream."""
+    path, state = scratch_path(spark, "live-vectors"), scratch_path(spark, "live-vectors-state")
+    source = sequences.SequenceEncoder(prefix_lengths)
+    rows = _prefix_lengths(encoded_in_row(_stream(spark, folder), D.SETTINGS, source))
+    live.run_available(rows, path, state)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @register
 def stream_bucket_counts(spark, folder):
     path, state = scratch_path(spark, "live-counts"), scratch_path(spark, "live-counts-state")

@@ -1,15 +1,13 @@
 """Sessions on a branch: add rows, replace configs, or replace everything.
 
-Every session goes through ``add_session``: it refuses a second model, keeps the
-token policy of the first write, writes, and then brings the records up to date.
-
-Records lie beside the data, in folders that readers of the root skip:
-
-* ``_ledger``: what each session added, as counts per config, file and bucket.  A
-  session's rows are those in files that no earlier session knows, so a session
-  that failed before its record is counted with the next one;
-* ``_manifest``: model name, metadata and exact counts per bucket of what is
-  stored now.  One row without a bucket keeps the record of an empty branch.
+Every session is one commit (see ``sources.commits``): it refuses a second model and keeps
+the token policy of the first write, also if another session gets ahead of it while it
+writes.  What the records say follows from the log, whose entries were counted by the jobs
+that wrote the rows:
+
+* the ledger: what each session added, as counts per config and bucket;
+* the manifest: model name, metadata and exact counts per bucket of what is stored now.
+  One row without a bucket keeps the record of an empty branch.
 """
 
 from __future__ import annotations
@@ -19,43 +17,45 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.operators.statistics import bucket_counts, require_one_model
-from stratavec.sources import catalogue
+from stratavec.sources import catalogue, commits
+from stratavec.sources.commits import APPEND, REPLACE_ALL, REPLACE_CONFIGS, Commit
 from stratavec.streaming import live
 
-MANIFEST_SCHEMA = (
-    "model_name string, metadata map<string,string>, bucket int, n_rows bigint, branch string"
-)
-LEDGER_SCHEMA = (
-    "config string, file_name string, bucket int, n_rows bigint, has_tokens boolean, "
-    "branch string, session int"
-)
-REPLACE_ALL, REPLACE_CONFIGS, APPEND = "replace_all", "replace_configs", "append"
-
-
-def manifest_path(root: str) -> str:
-    # folders that start with an underscore are skipped when the root is read
-    return f"{root}/_manifest"
-
-
-def ledger_path(root: str) -> str:
-    return f"{root}/_ledger"
-
-
-def folder_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+__all__ = [
+    "APPEND", "REPLACE_ALL", "REPLACE_CONFIGS", "add_session", "add_stream_session",
+    "ledger_counts", "read_ledger", "read_manifest",
+]
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(manifest_path(root))
+    """``(model_name, metadata, bucket, n_rows, branch)`` of all branches."""
+    newest = commits.log_table(spark, root).groupBy("branch").agg(
+        F.max_by(F.struct("model_name", "metadata"), "version").alias("record")
+    )
+    record = newest.select("branch", "record.model_name", "record.metadata")
+    counts = (
+        commits.stored_cells(spark, root)
+        .groupBy("branch", "bucket")
+        .agg(F.sum("n_rows").alias("n_rows"))
+    )
+    empty = newest.select(
+        "branch", F.lit(None).cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("n_rows")
+    )
+    return counts.unionByName(empty).join(record, "branch").select(
+        "model_name", "metadata", "bucket", "n_rows", "branch"
+    )
 
 
 def read_ledger(spark: SparkSession, root: str, branch: str) -> DataFrame:
-    if not folder_exists(spark, f"{ledger_path(root)}/branch={branch}"):
-        return spark.createDataFrame([], LEDGER_SCHEMA)
-    rows = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(root))
-    return rows.filter(F.col("branch") == branch)
+    """Counts of every session since everything was last replaced."""
+    log = commits.log_table(spark, root).filter(F.col("branch") == branch)
+    began = log.agg(F.max("first")).scalar()
+    return log.filter(F.col("version") >= began).select(
+        F.explode("added").alias("cell"),
+        "has_tokens",
+        "branch",
+        (F.col("version") - F.col("first")).cast("int").alias("session"),
+    ).select("cell.*", "has_tokens", "branch", "session")
 
 
 def ledger_counts(spark: SparkSession, root: str, branch: str) -> DataFrame:
@@ -65,80 +65,35 @@ def ledger_counts(spark: SparkSession, root: str, branch: str) -> DataFrame:
     )
 
 
-def write_manifest(
-    spark: SparkSession, root: str, branch: str, model_name: str, metadata: Mapping[str, str]
-) -> None:
-    """Exact counts per bucket of a branch, recomputed from the written rows."""
-    entries = [F.lit(x) for pair in metadata.items() for x in pair]
-    pairs = F.create_map(*entries).cast("map<string,string>")
-    named = lambda rows: rows.select(
-        F.lit(model_name).alias("model_name"), pairs.alias("metadata"), "bucket", "n_rows"
-    )
-    record = spark.range(1).select(
-        F.lit(None).cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("n_rows")
-    )
-    counts = bucket_counts(catalogue.read_capture(spark, catalogue.branch_path(root, branch)))
-    (
-        named(counts)
-        .unionByName(named(record))
-        .coalesce(1)  # one row per bucket
-        .write.mode("overwrite")
-        .parquet(f"{manifest_path(root)}/branch={branch}")
-    )
+class AlreadyWritten(RuntimeError):
+    """A micro-batch that was committed before."""
 
 
-def _record_session(
-    spark: SparkSession, root: str, branch: str, has_tokens: bool, fresh: bool
+def _check(
+    last: Commit | None,
+    added: list[dict],
+    *,
+    branch: str,
+    model_name: str,
+    mode: str,
+    has_tokens: bool,
+    stream: tuple[str, int] | None,
 ) -> None:
-    path = f"{ledger_path(root)}/branch={branch}"
-    known = spark.createDataFrame([], LEDGER_SCHEMA) if fresh else read_ledger(spark, root, branch)
-    last = known.agg(F.max("session")).first()[0]
-    number = 0 if last is None else last + 1
-    cells = (
-        catalogue.read_capture(spark, catalogue.branch_path(root, branch))
-        .select("config", F.col("_metadata.file_name").alias("file_name"), "bucket")
-        .groupBy("config", "file_name", "bucket")
-        .agg(F.count("*").alias("n_rows"))
-        .join(known.select("file_name").distinct(), "file_name", "left_anti")
-        .select("config", "file_name", "bucket", "n_rows", F.lit(has_tokens).alias("has_tokens"))
-    )
-    target = path if fresh else f"{path}/session={number}"
-    if fresh:  # the sessions before are gone with their rows
-        cells = cells.withColumn("session", F.lit(0))
-        cells.write.mode("overwrite").partitionBy("session").parquet(target)
-    else:
-        cells.write.mode("overwrite").parquet(target)
-
-
-def _require_tokens_allowed(ledger: DataFrame, rows: DataFrame) -> None:
-    """Rows with token strings may not be added to a config first written without."""
-    bare = (
-        ledger.groupBy("config")
-        .agg(F.min_by("has_tokens", "session").alias("has_tokens"))
-        .filter(~F.col("has_tokens"))
-        .select("config")
-    )
-    if bare.head(1):
-        clash = catalogue.stored_form(rows).join(bare, "config", "left_semi").head(1)
-        if clash:
-            raise ValueError(
-                f"token strings given for {clash[0]['config']} after rows without them"
-            )
-
-
-def stored_record(
-    spark: SparkSession, root: str, branch: str, model_name: str
-) -> dict[str, str]:
-    """Metadata of the branch so far; another model is refused."""
-    if not folder_exists(spark, f"{manifest_path(root)}/branch={branch}"):
-        return {}
-    stored = read_manifest(spark, root).filter(F.col("branch") == branch)
-    incoming = spark.range(1).select(
-        F.lit(branch).alias("branch"), F.lit(model_name).alias("model_name")
-    )
-    require_one_model(stored, incoming)
-    row = stored.select("metadata").first()
-    return dict(row["metadata"] or {}) if row else {}
+    """Whether rows may be put behind an entry."""
+    if last is None:
+        return
+    if last.model_name not in (None, model_name):
+        raise ValueError(
+            f"one model per branch: {branch} would hold {last.model_name} and {model_name}"
+        )
+    if stream is not None and last.streams.get(stream[0], -1) >= stream[1]:
+        raise AlreadyWritten
+    if mode == APPEND and has_tokens:
+        for cell in added:
+            if not last.tokens.get(cell["config"], True):
+                raise ValueError(
+                    f"token strings given for {cell['config']} after rows without them"
+                )
 
 
 def add_session(
@@ -149,32 +104,25 @@ def add_session(
     model_name: str,
     mode: str = APPEND,
     metadata: Mapping[str, object] | None = None,
-) -> None:
+    stream: tuple[str, int] | None = None,
+) -> Commit:
     """Add captured rows to a branch, or replace its configs or all of it.
 
     Metadata is merged into that of earlier sessions, except where everything is
-    replaced.
+    replaced.  ``stream`` names a stream and its micro-batch, which counts only once.
     """
-    spark = rows.sparkSession
-    path = catalogue.branch_path(root, branch)
-    if mode not in (REPLACE_ALL, REPLACE_CONFIGS, APPEND):
-        raise ValueError(f"unknown session mode {mode}")
-    if mode != REPLACE_ALL and folder_exists(spark, f"{path}/_spark_metadata"):
-        raise ValueError(f"branch {branch} is written by a stream")
-    earlier = stored_record(spark, root, branch, model_name)
     has_tokens = "token_str" in rows.columns
-    if mode == APPEND and has_tokens:
-        _require_tokens_allowed(read_ledger(spark, root, branch), rows)
-    if mode == REPLACE_ALL:
-        earlier = {}
-        catalogue.publish_branch(rows, root, branch)
-    elif mode == REPLACE_CONFIGS:
-        catalogue.overwrite_configs(rows, path)
-    else:
-        catalogue.append_rows(rows, path)
-    _record_session(spark, root, branch, has_tokens, fresh=mode == REPLACE_ALL)
-    merged = {**earlier, **{k: str(v) for k, v in (metadata or {}).items()}}
-    write_manifest(spark, root, branch, model_name, merged)
+    rules = dict(branch=branch, model_name=model_name, mode=mode, has_tokens=has_tokens, stream=stream)
+    return catalogue.commit_rows(
+        rows,
+        root,
+        branch,
+        mode,
+        check=lambda last, added: _check(last, added, **rules),
+        model_name=model_name,
+        metadata={k: str(v) for k, v in (metadata or {}).items()},
+        streams=dict([stream]) if stream is not None else None,
+    )
 
 
 def add_stream_session(
@@ -185,19 +133,22 @@ def add_stream_session(
     model_name: str,
     checkpoint: str,
     metadata: Mapping[str, object] | None = None,
-    splits: int = live.CONFIG_SPLITS,
 ) -> None:
-    """Process what a captured stream holds now into a branch of its own.
+    """Process what a captured stream holds now; every micro-batch is one commit.
 
-    The file sink's log decides what a reader sees, so a branch written by a
-    stream takes no rows from elsewhere.
+    A micro-batch that is run again after a failure finds itself in the log, so its rows
+    are there once.  Streams and other sessions may write to one branch.
     """
+    common = dict(root=root, branch=branch, model_name=model_name, metadata=metadata)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        try:
+            add_session(batch, stream=(checkpoint, number), **common)
+        except AlreadyWritten:
+            pass
+
     spark = stream.sparkSession
-    path = catalogue.branch_path(root, branch)
-    if folder_exists(spark, path) and not folder_exists(spark, f"{path}/_spark_metadata"):
-        raise ValueError(f"branch {branch} is not written by a stream")
-    earlier = stored_record(spark, root, branch, model_name)
-    live.stream_capture(stream, path, checkpoint, splits)
-    _record_session(spark, root, branch, "token_str" in stream.columns, fresh=False)
-    merged = {**earlier, **{k: str(v) for k, v in (metadata or {}).items()}}
-    write_manifest(spark, root, branch, model_name, merged)
+    live.run_to_end(stream, sink, checkpoint, "append")
+    if commits.latest(spark, catalogue.branch_path(root, branch)) is None:
+        empty = spark.createDataFrame([], catalogue.STORED)
+        add_session(empty if "token_str" in stream.columns else empty.drop("token_str"), **common)

@@ -1,15 +1,20 @@
 """The written capture: one Parquet partition per config, one folder per branch.
 
-Layout: ``<root>/branch=<name>/config=<lLLhHHk>/part-*.parquet``.
+Layout of a branch: ``<root>/branch=<name>/snapshot=<id>/config=<lLLhHHk>/part-*.parquet``
+and the log of ``commits``, which says what counts.  A single capture written to a path
+of its own, and what a stream's file sink writes, is ``<path>/config=<lLLhHHk>/``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratavec.functions.naming import CONFIG_PATTERN, config_name, config_parts
+from stratavec.sources import commits
 
 DATA_COLUMNS = ("bucket", "example_id", "position", "vector", "sliding_window", "token_str")
 STORED = T.StructType(
@@ -26,6 +31,8 @@ STORED = T.StructType(
 BRANCHED = T.StructType(STORED.fields + [T.StructField("branch", T.StringType())])
 # A file is closed after this many rows (about 1 GB at 128 floats per vector).
 ROWS_PER_FILE = 2_000_000
+# configs times buckets that are counted while rows are written
+CELLS = 200_000
 
 
 def stored_form(capture: DataFrame) -> DataFrame:
@@ -38,14 +45,17 @@ def stored_form(capture: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED.fields])
 
 
-def _writer(capture: DataFrame, mode: str):
+def _arranged(capture: DataFrame) -> DataFrame:
     # Rebalance gathers each config into few files; AQE splits a config that is
     # too large for one task and merges small ones, so no config is a bottleneck.
-    rows = (
+    return (
         stored_form(capture)
         .hint("rebalance", "config")
         .sortWithinPartitions("config", "example_id", "position")
     )
+
+
+def _written(rows: DataFrame, mode: str):
     return (
         rows.write.mode(mode)
         .option("compression", "zstd")
@@ -54,6 +64,46 @@ def _writer(capture: DataFrame, mode: str):
     )
 
 
+def _writer(capture: DataFrame, mode: str):
+    return _written(_arranged(capture), mode)
+
+
+def _required_columns(capture: DataFrame) -> None:
+    missing = {"bucket", "example_id", "position", "vector"} - set(capture.columns)
+    if missing:
+        raise ValueError(f"rows to append lack the columns {sorted(missing)}")
+
+
+def write_snapshot(capture: DataFrame, path: str) -> tuple[str, list[dict]]:
+    """Rows in a new folder below ``path``, which no reader knows yet: its name, and the
+    counts per config and bucket, taken by the job that writes.
+
+    The counts come from a frequent-items aggregate, which is exact for fewer items than
+    it may hold.  A capture with more cells than ``CELLS`` is counted from its new files.
+    """
+    _required_columns(capture)
+    folder = f"snapshot={uuid.uuid4().hex}"
+    seen = Observation()
+    cell = F.concat_ws("|", "config", F.coalesce(F.col("bucket").cast("string"), F.lit("")))
+    rows = _arranged(capture).observe(
+        seen,
+        F.count(F.lit(1)).alias("n"),
+        F.call_function("approx_top_k", cell, F.lit(CELLS), F.lit(CELLS)).alias("cells"),
+    )
+    _written(rows, "errorifexists").parquet(f"{path}/{folder}")
+    cells = seen.get.get("cells") or []
+    if sum(c["count"] for c in cells) == seen.get["n"] and len(cells) < CELLS:
+        added = [(*c["item"].rsplit("|", 1), c["count"]) for c in cells]
+    else:
+        new = capture.sparkSession.read.schema(STORED).parquet(f"{path}/{folder}")
+        added = [tuple(r) for r in new.groupBy("config", "bucket").count().collect()]
+    counts = [
+        {"config": config, "bucket": None if bucket in ("", None) else int(bucket), "n_rows": n}
+        for config, bucket, n in added
+    ]
+    return folder, sorted(counts, key=lambda c: (c["config"], -1 if c["bucket"] is None else c["bucket"]))
+
+
 def branch_path(root: str, branch: str) -> str:
     return f"{root}/branch={branch}"
 
@@ -75,44 +125,150 @@ def overwrite_configs(capture: DataFrame, path: str) -> None:
 
 def append_rows(capture: DataFrame, path: str) -> None:
     """Add rows; duplicates are kept."""
-    missing = {"bucket", "example_id", "position", "vector"} - set(capture.columns)
-    if missing:
-        raise ValueError(f"rows to append lack the columns {sorted(missing)}")
+    _required_columns(capture)
     _writer(capture, "append").parquet(path)
 
 
+def commit_rows(
+    capture: DataFrame, root: str, branch: str, mode: str, check=lambda last, added: None, **entry
+) -> commits.Commit:
+    """Rows written and committed on a branch.
+
+    ``check(newest entry, counts of the rows)`` may refuse them; it is asked before
+    anything is written, without counts, and again for every entry they are put behind.
+    A replacement is refused if the branch has moved on since.
+    """
+    spark, path = capture.sparkSession, branch_path(root, branch)
+    if mode not in commits.MODES:
+        raise ValueError(f"unknown session mode {mode}")
+    base = commits.latest(spark, path)
+    check(base, [])
+    folder, added = write_snapshot(capture, path)
+    number = lambda last: -1 if last is None else last.version
+
+    def build(last: commits.Commit | None) -> commits.Commit:
+        check(last, added)
+        if mode != commits.APPEND and number(last) != number(base):
+            raise commits.CommitConflict(
+                f"branch {branch} was written to while its rows were replaced"
+            )
+        return commits.following(
+            last,
+            branch=branch,
+            mode=mode,
+            folder=folder,
+            added=added,
+            has_tokens="token_str" in capture.columns,
+            **entry,
+        )
+
+    return commits.add_commit(spark, path, build)
+
+
 def publish_branch(capture: DataFrame, root: str, branch: str) -> None:
-    """Replace the whole content of one branch; other branches are not touched."""
-    write_capture(capture, branch_path(root, branch))
+    """Replace the whole content of one branch; other branches are not touched.
+
+    Readers see the old rows until all new ones are there.
+    """
+    commit_rows(capture, root, branch, commits.REPLACE_ALL)
+
+
+def replace_branch_configs(capture: DataFrame, root: str, branch: str) -> None:
+    """Replace the configs of a branch that occur in ``capture``; others stay."""
+    commit_rows(capture, root, branch, commits.REPLACE_CONFIGS)
+
+
+def append_to_branch(capture: DataFrame, root: str, branch: str) -> None:
+    """Add rows to a branch; duplicates are kept."""
+    commit_rows(capture, root, branch, commits.APPEND)
 
 
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """All configs below ``path``."""
-    return spark.read.schema(STORED).parquet(path)
+    entry = commits.latest(spark, path)
+    if entry is None:
+        return spark.read.schema(STORED).parquet(path)
+    return _read_folders(spark, path, _folders(spark, path, entry), STORED)
+
+
+def _folders(spark: SparkSession, path: str, entry: commits.Commit) -> list[str]:
+    """What an entry lists: whole folders, or their configs where some were replaced."""
+    out = []
+    for part in entry.parts:
+        folder = f"{path}/{part['folder']}"
+        if part["dropped"]:
+            gone = {f"config={c}" for c in part["dropped"]}
+            names = [n for n in commits.children(spark, folder) if n.startswith("config=")]
+            out += [f"{folder}/{n}" for n in names if n not in gone]
+        else:
+            out.append(folder)
+    return out
+
+
+def _read_folders(
+    spark: SparkSession, base: str, folders: list[str], schema: T.StructType
+) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", base).parquet(*folders)
+    return rows.select(*schema.fieldNames())
 
 
 def read_branches(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(BRANCHED).parquet(root)
+    """Rows of all branches below a root."""
+    names = [n for n in commits.children(spark, root) if n.startswith("branch=")]
+    entries = {n: commits.latest(spark, f"{root}/{n}") for n in names}
+    folders = [
+        f for n, e in entries.items() if e is not None for f in _folders(spark, f"{root}/{n}", e)
+    ]
+    rows = _read_folders(spark, root, folders, BRANCHED)
+    # branches written by other means have no log
+    plain = [f"{root}/{n}" for n, e in entries.items() if e is None]
+    return rows.unionByName(_read_folders(spark, root, plain, BRANCHED)) if plain else rows
 
 
 def read_config(spark: SparkSession, root: str, branch: str, config: str) -> DataFrame:
     """One config of one branch; nothing else of the catalogue is listed."""
-    rows = _read_below(spark, root, f"{branch_path(root, branch)}/config={config}")
+    rows = _read_below(spark, root, branch, config)
     return rows.filter((F.col("branch") == branch) & (F.col("config") == config))
 
 
 def read_config_prefix(spark: SparkSession, root: str, branch: str, prefix: str) -> DataFrame:
     """Configs whose name starts with ``prefix``, e.g. ``l00h00`` for q and k."""
-    rows = _read_below(spark, root, f"{branch_path(root, branch)}/config={prefix}*")
+    rows = _read_below(spark, root, branch, f"{prefix}*")
     return rows.filter((F.col("branch") == branch) & F.col("config").startswith(prefix))
 
 
-def _read_below(spark: SparkSession, root: str, path: str) -> DataFrame:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    if not found:
-        return spark.createDataFrame([], BRANCHED)
-    return spark.read.schema(BRANCHED).option("basePath", root).parquet(path)
+def _read_below(spark: SparkSession, root: str, branch: str, pattern: str) -> DataFrame:
+    path = branch_path(root, branch)
+    entry = commits.latest(spark, path)
+    parts = [{"folder": "", "dropped": []}] if entry is None else entry.parts
+    found = []
+    for part in parts:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part['folder']}/config={pattern}")
+        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in system.globStatus(target) or []:
+            if status.getPath().getName().removeprefix("config=") not in part["dropped"]:
+                found.append(status.getPath().toString())
+    return _read_folders(spark, root, found, BRANCHED)
+
+
+def stored_configs(spark: SparkSession, path: str) -> DataFrame:
+    """``(config, layer, head, kind)`` of a capture, from names and log entries alone.
+
+    No data file is opened.  The configs of a capture are its layers times heads.
+    """
+    entry = commits.latest(spark, path)
+    if entry is None:
+        names = {n.removeprefix("config=") for n in commits.children(spark, path) if n.startswith("config=")}
+    else:
+        names = {
+            config
+            for part in entry.parts
+            for config in commits.read_commit(spark, path, part["version"]).configs()
+            if config not in part["dropped"]
+        }
+    return list_configs(spark.createDataFrame([(n,) for n in sorted(names)], "config string"))
 
 
 def read_plain_files(spark: SparkSession, root: str) -> DataFrame:

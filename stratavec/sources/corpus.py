@@ -101,6 +101,54 @@ def corpus_take(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.join(first, key, "left_semi")
 
 
+def file_offsets(rows: DataFrame) -> list[tuple[str, int, int]]:
+    """``(file, rows before it, rows in it)`` of a Parquet scan, in the order of paths.
+
+    No column is read: the row counts are those of the footers.
+    """
+    counts = rows.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count()
+    out, before = [], 0
+    for file, n in sorted(tuple(r) for r in counts.collect()):
+        out.append((file, before, n))
+        before += n
+    return out
+
+
+def scan_in_order(
+    spark: SparkSession,
+    path: str,
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    limit: int | None = None,
+) -> DataFrame:
+    """Texts of a Parquet corpus without ids: ``example_id`` is the place of a row in its
+    source, counted over the files in the order of their paths.
+
+    ``limit`` keeps the first rows as they lie; files behind them are not read.  There is
+    no key, sort or shuffle: every row knows its place in its file, and the rows in the
+    files before come from the footers (one number a file).
+    """
+    rows = spark.read.parquet(path)
+    offsets = file_offsets(rows)
+    if limit is not None:
+        offsets = [o for o in offsets if o[1] < limit]
+    if not offsets:
+        return rows.select(F.lit(0).cast("bigint").alias("example_id"), F.col(text_col).alias("text"), *keep).limit(0)
+    if limit is not None:
+        rows = spark.read.schema(rows.schema).parquet(*[o[0] for o in offsets])
+    before = spark.createDataFrame([o[:2] for o in offsets], "_file string, _before bigint")
+    placed = rows.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+        F.col(text_col).alias("text"),
+        *keep,
+    )
+    ordered = placed.join(before, "_file").select(
+        (F.col("_before") + F.col("_row")).alias("example_id"), "text", *keep
+    )
+    return ordered if limit is None else ordered.filter(F.col("example_id") < limit)
+
+
 def row_target(df: DataFrame, max_samples: int | None) -> DataFrame:
     """Expected number of rows of a run."""
     count = F.count("*")
@@ -136,18 +184,22 @@ def corpus_stream(
     fmt: str = "parquet",
     glob: str | None = None,
     files_per_trigger: int | None = None,
-    take: int | None = None,
+    places: bool = False,
 ) -> DataFrame:
     """The corpus as an endless source: new files are picked up as they arrive.
 
-    ``take`` ends it after that many rows, over all micro-batches.
+    With ``places`` rows also carry their file and their place in it, which
+    ``streaming.live.run_taken`` counts by.
     """
     reader = spark.readStream.format(fmt).schema(schema)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    rows = reader.load(folder).select(
-        F.col(id_col).alias("example_id"), F.col(text_col).alias("text")
+    own = [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    ]
+    return reader.load(folder).select(
+        F.col(id_col).alias("example_id"), F.col(text_col).alias("text"), *(own if places else ())
     )
-    return rows if take is None else rows.limit(take)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stratavec.sources import commits
 from stratavec.sources.catalogue import stored_form
 
 # Sub-partitions per config in one micro-batch, so a large config is not one task;
@@ -62,6 +63,41 @@ def stream_bucket_counts(rows: DataFrame, path: str, checkpoint: str) -> None:
     run_to_end(counts, replace, checkpoint, "complete")
 
 
+def run_taken(stream: DataFrame, limit: int, path: str, checkpoint: str) -> None:
+    """Writes the first ``limit`` rows of a stream that carries places, over all its
+    micro-batches and restarts, to ``path``, and drops the rest.
+
+    Files count in the order of the micro-batches and, inside one, of their paths.  A
+    micro-batch counts its files, and its own total is noted beside the checkpoint, so the
+    next one knows how many rows came before; each row then decides for itself.  Many
+    tasks write, none counts the whole stream.  A micro-batch that is run again finds its
+    note and replaces its own folder.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        names = commits.children(spark, f"{checkpoint}/taken")
+        notes = {int(n[:20]): int(n[21:]) for n in names if not n.startswith(".")}
+        before = sum(n for k, n in notes.items() if k < number)
+        if before >= limit:
+            return
+        counts = batch.groupBy("_file").count().collect()
+        offsets = []
+        for file, n in sorted(tuple(r) for r in counts):
+            offsets.append((file, before))
+            before += n
+        if number not in notes:
+            own = sum(n for _, n in counts)
+            commits.create_once(spark, f"{checkpoint}/taken/{number:020d}-{own}", "")
+        if offsets:
+            start = spark.createDataFrame(offsets, "_file string, _before bigint")
+            rows = batch.join(start, "_file").filter(F.col("_before") + F.col("_row") < limit)
+            target = f"{path}/batch={number}"
+            rows.drop("_file", "_row", "_before").write.mode("overwrite").parquet(target)
+
+    run_to_end(stream, take, checkpoint, "append")
+
+
 def run_to_end(
     stream: DataFrame,
     sink: Callable[[DataFrame, int], None],

@@ -11,7 +11,16 @@ from pyspark.sql import types as T
 
 from stratavec.defaults import FULL, SLIDING, Layout
 from stratavec.functions import buckets, ids, naming, vectors
-from stratavec.operators import attention, gather, heads, rotary, sampling, statistics, tokens
+from stratavec.operators import (
+    attention,
+    gather,
+    heads,
+    rotary,
+    sampling,
+    sequences,
+    statistics,
+    tokens,
+)
 from stratavec.sources import corpus
 
 
@@ -317,13 +326,13 @@ def test_sequence_encoder(spark):
     model = lambda words, layer, kind, at: np.array(
         [[len(words[p]), len(words[p - 1]) if p else 0, layer] for p in at]
     )
-    got = gather.SequenceEncoder(model, examples).encode(rows)
+    got = sequences.SequenceEncoder(model, examples).encode(rows)
     assert got.columns == [*rows.columns, "flat"]
     assert {r.note: r.flat for r in got.collect()} == {
         "x": [3.0, 2.0, 1.0], "y": [1.0, 0.0, 0.0], "z": [2.0, 1.0, 1.0]
     }
     with pytest.raises(Exception, match="without tokens"):
-        gather.SequenceEncoder(model, examples.filter("example_id = 8")).encode(rows).collect()
+        sequences.SequenceEncoder(model, examples.filter("example_id = 8")).encode(rows).collect()
 
 
 def test_softmax_of_far_apart_logits(spark):

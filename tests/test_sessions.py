@@ -11,7 +11,7 @@ from stratavec import defaults as D
 from stratavec.plans import queries as Q
 from stratavec.plans import run, sessions
 from stratavec.plans.capture import capture
-from stratavec.sources import catalogue, corpus
+from stratavec.sources import catalogue, commits, corpus
 
 ROWS = (
     "layer int, head int, kind string, bucket int, example_id bigint, position int, "
@@ -88,15 +88,22 @@ def test_stream_in_micro_batches_and_its_branch(spark, small, at, tmp_path):
     stream = corpus.corpus_stream(spark, folder, Q.DOCUMENTS_SCHEMA, files_per_trigger=1)
     encoder = Q.encoder(spark, small)
     settings = replace(D.SETTINGS, layers=(0,))
-    args = {"checkpoint": str(tmp_path / "state"), "splits": 2, **at}
+    args = {"checkpoint": str(tmp_path / "state"), **at}
     for _ in range(2):  # nothing new the second time
         sessions.add_stream_session(capture(stream, settings, encoder), **args)
     batch = capture(Q.documents(spark, small), settings, encoder)
     expected = {r.bucket: r["count"] for r in batch.groupBy("bucket").count().collect()}
     assert counts(sessions.read_manifest(spark, at["root"])) == expected
     assert counts(sessions.ledger_counts(spark, at["root"], "b")) == expected
-    with pytest.raises(ValueError, match="written by a stream"):
-        sessions.add_session(rows(spark, (0, 0, "q")), **at)
+    # micro-batches are sessions like others, and one that is run again counts once
+    path = catalogue.branch_path(at["root"], "b")
+    assert commits.latest(spark, path).version == 2
+    with pytest.raises(sessions.AlreadyWritten):
+        sessions.add_session(rows(spark, (0, 0, "q")), stream=(args["checkpoint"], 1), **at)
+    sessions.add_session(rows(spark, (0, 0, "q"), bucket=10**6), **at)
+    expected[10**6] = 1
+    assert counts(sessions.read_manifest(spark, at["root"])) == expected
+    assert sum(expected.values()) == catalogue.read_branches(spark, at["root"]).count()
 
 
 def test_run_corpus(spark):
