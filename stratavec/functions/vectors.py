@@ -74,22 +74,16 @@ def frequencies(dim: int, theta: Column | float) -> Column:
     return F.array(*[F.lit(float(theta) ** (-2.0 * i / dim)) for i in range(dim // 2)])
 
 
-def turns(position: Column, rates: Column) -> Column:
-    """Cosine and sine of every pair at a position.  They are the same for all heads, so
-    work them out before heads are split."""
-    angle = lambda rate: position.cast("double") * rate
-    return F.transform(
-        rates, lambda rate: F.struct(F.cos(angle(rate)).alias("c"), F.sin(angle(rate)).alias("s"))
-    )
-
-
-def _turn(a: Column, b: Column, turn: Column) -> tuple[Column, Column]:
-    return a * turn["c"] - b * turn["s"], b * turn["c"] + a * turn["s"]
-
-
 def _turned(position: Column, rates: Column, build: Callable[[Column], Column]) -> Column:
     """``build(turns)``: sine and cosine worked out once per pair of entries."""
-    return _with_value(turns(position, rates), build)
+    turns = F.transform(
+        rates,
+        lambda rate: F.struct(
+            F.cos(position.cast("double") * rate).alias("c"),
+            F.sin(position.cast("double") * rate).alias("s"),
+        ),
+    )
+    return _with_value(turns, build)
 
 
 def rotate_halves(vector: Column, position: Column, dim: int, theta: Column | float) -> Column:
@@ -99,30 +93,19 @@ def rotate_halves(vector: Column, position: Column, dim: int, theta: Column | fl
 
 def rotate_halves_by(vector: Column, position: Column, dim: int, rates: Column) -> Column:
     """The same with the frequencies at hand, an array of ``dim / 2``."""
-    turned = _turned(position, rates, lambda t: _halves(vector, dim, t))
-    return of_width(vector, dim, turned, "array<double>")
-
-
-def rotate_halves_turned(vector: Column, dim: int, own_turns: Column) -> Column:
-    """The same with the turns at hand, a column of ``turns``."""
-    if dim > UNROLL_LIMIT:
-        return of_width(vector, dim, _halves(vector, dim, own_turns), "array<double>")
     half = dim // 2
-    pairs = [
-        _turn(_item(vector, i), _item(vector, half + i), own_turns.getItem(i)) for i in range(half)
-    ]
-    out = F.array(*[low for low, _ in pairs], *[high for _, high in pairs])
-    return of_width(vector, dim, out, "array<double>")
+    low = lambda v, t: v[0] * t["c"] - v[1] * t["s"]
+    high = lambda v, t: v[1] * t["c"] + v[0] * t["s"]
 
+    def build(turns: Column) -> Column:
+        pairs = F.arrays_zip(
+            F.slice(vector, 1, half).cast("array<double>").alias("a"),
+            F.slice(vector, half + 1, half).cast("array<double>").alias("b"),
+        )
+        both = lambda f: F.zip_with(pairs, turns, lambda p, t: f((p["a"], p["b"]), t))
+        return F.concat(both(low), both(high))
 
-def _halves(vector: Column, dim: int, own_turns: Column) -> Column:
-    half = dim // 2
-    pairs = F.arrays_zip(
-        F.slice(vector, 1, half).cast("array<double>").alias("a"),
-        F.slice(vector, half + 1, half).cast("array<double>").alias("b"),
-    )
-    both = lambda k: F.zip_with(pairs, own_turns, lambda p, t: _turn(p["a"], p["b"], t)[k])
-    return F.concat(both(0), both(1))
+    return of_width(vector, dim, _turned(position, rates, build), "array<double>")
 
 
 def rotate_pairs(
@@ -136,35 +119,59 @@ def rotate_pairs_by(
     vector: Column, position: Column, dim: int, rotary_dim: int, rates: Column
 ) -> Column:
     """The same with the frequencies at hand, an array of ``rotary_dim / 2``."""
-    turned = _turned(position, rates, lambda t: _neighbours(vector, dim, rotary_dim, t))
-    return of_width(vector, dim, turned, "array<double>")
 
+    def build(turns: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(rotary_dim // 2 - 1))
 
-def rotate_pairs_turned(
-    vector: Column, dim: int, rotary_dim: int, own_turns: Column
+        def pair(i: Column, t: Column) -> Column:
+            a, b = (F.get(vector, i * 2 + k).cast("double") for k in range(2))
+            return F.array(a * t["c"] - b * t["s"], b * t["c"] + a * t["s"])
+
+        turned = F.flatten(F.zip_with(numbers, turns, pair))
+        rest = F.slice(vector, rotary_dim + 1, dim - rotary_dim).cast("array<double>")
+        return F.concat(turned, rest) if rotary_dim < dim else turned
+
+    return of_width(vector, dim, _turned(position, rates, build), "array<double>")
+
+
+def turn_arrays(position: Column, rates: Column, neighbours: bool = False) -> tuple[Column, Column]:
+    """Cosines and signed sines by which the entries at a position and their partners are
+    multiplied.  They are the same for all heads, so work them out before heads are split."""
+    angle = lambda rate: position.cast("double") * rate
+    cosines = F.transform(rates, lambda rate: F.cos(angle(rate)))
+    sines = F.transform(rates, lambda rate: F.sin(angle(rate)))
+    if neighbours:
+        both = lambda values, build: F.flatten(F.transform(values, build))
+        return both(cosines, lambda c: F.array(c, c)), both(sines, lambda s: F.array(-s, s))
+    return F.concat(cosines, cosines), F.concat(F.transform(sines, lambda s: -s), sines)
+
+
+def turned_entries(
+    vector: Column, cosines: Column, sines: Column, dim: int, neighbours: bool = False
 ) -> Column:
-    """The same with the turns at hand, a column of ``turns``."""
-    if dim > UNROLL_LIMIT:
-        turned = _neighbours(vector, dim, rotary_dim, own_turns)
-        return of_width(vector, dim, turned, "array<double>")
-    entries = []
-    for i in range(0, rotary_dim, 2):
-        turn = own_turns.getItem(i // 2)
-        entries += _turn(_item(vector, i), _item(vector, i + 1), turn)
-    entries += [_item(vector, i) for i in range(rotary_dim, dim)]
-    return of_width(vector, dim, F.array(*entries), "array<double>")
-
-
-def _neighbours(vector: Column, dim: int, rotary_dim: int, own_turns: Column) -> Column:
-    numbers = F.sequence(F.lit(0), F.lit(rotary_dim // 2 - 1))
-
-    def pair(i: Column, t: Column) -> Column:
-        a, b = (F.get(vector, i * 2 + k).cast("double") for k in range(2))
-        return F.array(*_turn(a, b, t))
-
-    turned = F.flatten(F.zip_with(numbers, own_turns, pair))
-    rest = F.slice(vector, rotary_dim + 1, dim - rotary_dim).cast("array<double>")
-    return F.concat(turned, rest) if rotary_dim < dim else turned
+    """Rotary transform of a double vector whose width is known to be right.
+
+    ``vector`` has to be a column: each of its entries is read twice.  There is no
+    condition around the entries, so generated code shares what they have in common.
+    """
+    rotated = range(dim)
+    partner = (lambda i: i ^ 1) if neighbours else (lambda i: (i + dim // 2) % dim)
+    if dim <= UNROLL_LIMIT:
+        item = lambda array, i: array.getItem(i)
+        return F.array(
+            *[
+                item(vector, i) * item(cosines, i) + item(vector, partner(i)) * item(sines, i)
+                for i in rotated
+            ]
+        )
+    if neighbours:
+        swapped = F.transform(vector, lambda _, i: F.get(vector, i.bitwiseXOR(F.lit(1))))
+    else:
+        swapped = F.concat(F.slice(vector, dim // 2 + 1, dim // 2), F.slice(vector, 1, dim // 2))
+    product = lambda x, y: x * y
+    return F.zip_with(
+        F.zip_with(vector, cosines, product), F.zip_with(swapped, sines, product), lambda x, y: x + y
+    )
 
 
 def scale_vector(vector: Column, factor: Column) -> Column:

@@ -9,12 +9,12 @@ from stratavec.defaults import Layout
 from stratavec.functions.vectors import (
     frequencies,
     query_scale,
+    of_width,
     rotate_halves_by,
-    rotate_halves_turned,
     rotate_pairs_by,
-    rotate_pairs_turned,
     scale_vector,
-    turns,
+    turn_arrays,
+    turned_entries,
 )
 
 
@@ -65,27 +65,36 @@ def rotate_capture(
 def with_turns(
     rows: DataFrame, layers: DataFrame, layout: Layout, rotary_dim: int | None = None
 ) -> DataFrame:
-    """Adds ``turns`` to rows without heads: cosine and sine of each pair at the row's
-    position, with the base of its layer; null where the layer does not rotate."""
-    rates = layers.withColumn(
-        "_rates", frequencies(rotary_dim or layout.head_dim, F.col("rope_theta"))
+    """Adds ``turns`` to rows without heads: what the entries of a vector at the row's
+    position are multiplied by, with the base of its layer.  Layers that do not rotate
+    turn by nothing."""
+    dim = rotary_dim or layout.head_dim
+    theta = F.when(F.col("use_rope"), F.col("rope_theta")).otherwise(F.lit(1.0))
+    rates = F.transform(
+        frequencies(dim, theta), lambda rate: F.when(F.col("use_rope"), rate).otherwise(F.lit(0.0))
     )
-    joined = rows.join(bounded_layers(rates, "_rates", "use_rope"), "layer")
-    own = F.when(F.col("use_rope"), turns(F.col("position"), F.col("_rates")))
-    return joined.withColumn("turns", own).drop("_rates", "use_rope")
+    joined = rows.join(bounded_layers(layers.withColumn("_rates", rates), "_rates"), "layer")
+    cosines, sines = turn_arrays(F.col("position"), F.col("_rates"), rotary_dim is not None)
+    return joined.withColumn("turns", F.struct(cosines.alias("c"), sines.alias("s"))).drop("_rates")
 
 
 def rotate_turned(
     capture: DataFrame, layout: Layout, rotary_dim: int | None = None
 ) -> DataFrame:
     """Rotate vectors that carry the ``turns`` of their position."""
-    vector, own = F.col("vector"), F.col("turns")
-    if rotary_dim is None:
-        turned = rotate_halves_turned(vector, layout.head_dim, own)
-    else:
-        turned = rotate_pairs_turned(vector, layout.head_dim, rotary_dim, own)
-    out = F.when(own.isNotNull(), turned).otherwise(vector.cast("array<double>"))
-    return capture.withColumn("vector", out).drop("turns")
+    dim, vector = layout.head_dim, F.col("vector")
+    # a column of its own, so that the check and the cast are made once
+    wide = capture.withColumn(
+        "vector", of_width(vector, dim, vector.cast("array<double>"), "array<double>")
+    ).withColumn("_c", F.col("turns.c")).withColumn("_s", F.col("turns.s"))
+    own, rest = vector, None
+    if rotary_dim is not None and rotary_dim < dim:
+        wide = wide.withColumn("_rest", F.slice(vector, rotary_dim + 1, dim - rotary_dim))
+        wide = wide.withColumn("vector", F.slice(vector, 1, rotary_dim))
+        rest = F.col("_rest")
+    out = turned_entries(own, F.col("_c"), F.col("_s"), rotary_dim or dim, rotary_dim is not None)
+    out = out if rest is None else F.concat(out, rest)
+    return wide.withColumn("vector", out).drop("turns", "_c", "_s", "_rest")
 
 
 def scale_queries(capture: DataFrame, beta: float, max_position: int) -> DataFrame:
