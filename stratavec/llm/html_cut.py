@@ -6,17 +6,23 @@ next to each other on the page, and consecutive blocks of one parent element.
 Costs are terminal capacities, edges are smoothness capacities, and the minimum
 cut, found by maximum flow, is the cheapest labelling.
 
-Costs come from a logistic classifier over what a block looks like (length,
-links, punctuation, element, place), trained on the blocks of at most
-``SAMPLE_PAGES`` pages (the documented bound) whose elements tell what they are,
-and from what those elements say.  That is a cost of the size of the others: tags
-say more than class words, and words that are only part of a name say less, so
-looks and neighbours can outvote each of them.
+Costs come from a logistic classifier over what a block looks like (length, links,
+punctuation, and, at a bounded weight, paragraph or heading), trained on the blocks of
+at most ``SAMPLE_PAGES`` pages (the documented bound) whose elements tell what they
+are, and from what those elements say:
+
+* a boilerplate tag (``footer``) or class name (``cookie-notice``, ``post-footer``) costs
+  more than looks and neighbours can pay, so paragraphs in it stay out;
+* words that only describe an element (``has-sidebar``), and names and forms around an
+  article, say little: looks and neighbours decide;
+* an article keeps what is in it, headings, tables and lists included, but for
+  boilerplate of its own and lists that are short links and little else.
 
 Inside a block white space becomes one space; blocks are joined by an empty line.
 Defined cases: a null page is the empty page, whose text is empty; unclosed
 elements end with their parent, a cut-off tag at the end is dropped, and the
-content of a script or style that is never closed is not text.
+content of a script or style that is never closed is not text; pages of any length are
+read whole; repeated rows are pages of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,14 +44,20 @@ SAMPLE_PAGES = 500
 TRAINING_STEPS = 300
 NEIGHBOUR_WEIGHT = 0.6
 PARENT_WEIGHT = 0.9
-# log-odds that an element's meaning adds to the classifier's: by a boilerplate tag,
-# by a tag or class of main text (which often holds some boilerplate), by a class of
-# boilerplate, by a word within a class name such as has-sidebar
-TAG_EVIDENCE = 3.0
+# log-odds that an element's meaning adds to the classifier's.  Looks are worth at most
+# LARGEST_COST, the edges of a block at most twice NEIGHBOUR_WEIGHT + PARENT_WEIGHT: a
+# boilerplate element is beyond both, an article beyond looks
+LARGEST_COST = 4.0
+OTHER_EVIDENCE = 9.0
+ARTICLE_EVIDENCE = 6.0
 MAIN_EVIDENCE = 2.0
-WORD_EVIDENCE = 2.5
 PART_EVIDENCE = 1.5
-LARGEST_COST = 4.0
+# a describing name of an element that holds an article or a first heading
+HOLDER_EVIDENCE = 0.5
+# a list is one of links if so much of it is linked, and its items are short
+LIST_LINKED, LIST_ITEM = 0.8, 80
+# largest weight of what is known from an element's name alone
+ELEMENT_WEIGHT = 1.0
 # an edge with less left is full
 SMALLEST_ROOM = 1e-9
 
@@ -55,11 +67,13 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
+_RAW = frozenset("script style noscript template textarea title iframe select".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
-    "small span strike strong sub sup time tt u var wbr img br".split()
+    "small span strike strong sub sup time tt u var wbr img br object "
+    "math mi mn mo mtext mrow msub msup msubsup mfrac msqrt mroot mover munder "
+    "svg g path text tspan".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # an open element of the first kind ends before one of the second
@@ -83,61 +97,119 @@ _OTHER_WORDS = frozenset(
     "discussion".split()
 )
 _MAIN_WORDS = frozenset("article content entry main post story body".split())
+# names that begin so tell of something beside or inside the element
+_DESCRIBES = frozenset("has have with without no is sticky fixed show hide hidden layout two three".split())
 _NAME = re.compile(r"[a-z]+")
 
 
+@dataclass
+class Element:
+    tag: str
+    parent: int  # number of the element around it
+    names: frozenset[str]  # of class, id and role
+    holds_main: bool = False  # an article, main or first heading is in it
+    chars: int = 0  # of the blocks right below it and their inline elements
+    linked: int = 0
+    items: int = 0
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
-    parent: int  # number of the element that holds it
+    parent: int  # number of the element around the one that holds it
     tag: str
-    meaning: float  # evidence for main text; below 0 for boilerplate, 0 unknown
+    element: int
+    meaning: float = 0.0  # evidence for main text; below 0 for boilerplate, 0 unknown
 
 
-def _named(names: set[str]) -> tuple[float, float]:
-    """Evidence of class names for main text and for boilerplate."""
+def _named(names: frozenset[str], holds_main: bool) -> tuple[float, float]:
+    """Evidence of names for main text and for boilerplate."""
     main = other = 0.0
     for name in names:
-        words = set(_NAME.findall(name))
-        if words & _OTHER_WORDS:  # a post-footer is a footer
-            other = max(other, WORD_EVIDENCE if words <= _OTHER_WORDS else PART_EVIDENCE)
-        elif words & _MAIN_WORDS:
-            main = max(main, MAIN_EVIDENCE if words <= _MAIN_WORDS else PART_EVIDENCE)
+        words = _NAME.findall(name)
+        if not _OTHER_WORDS.isdisjoint(words):
+            # a post-footer is a footer; has-sidebar is not a sidebar
+            whole = _OTHER_WORDS.issuperset(words)
+            kind = words[-1] in _OTHER_WORDS and words[0] not in _DESCRIBES
+            part = HOLDER_EVIDENCE if holds_main else PART_EVIDENCE
+            other = max(other, OTHER_EVIDENCE if whole or kind and not holds_main else part)
+        elif not _MAIN_WORDS.isdisjoint(words):
+            main = max(main, MAIN_EVIDENCE if _MAIN_WORDS.issuperset(words) else PART_EVIDENCE)
     return main, other
 
 
-def _meaning(tag: str, attributes: str, above: float) -> float:
-    """Evidence of an element for its content.
+def _meaning(element: Element, above: float) -> float:
+    """Evidence of an element for its content, given that of the one around it.
 
-    A boilerplate tag holds for all below it.  Boilerplate words hold until an
-    article or main element without such words.
+    Boilerplate holds for all below it.
     """
-    if above <= -TAG_EVIDENCE:
+    if above <= -OTHER_EVIDENCE:
         return above
-    if tag in _OTHER_TAGS or (tag == "header" and above <= 0):
-        return -TAG_EVIDENCE
-    names: set[str] = set()
-    if attributes and "=" in attributes and tag not in ("html", "body"):
-        for value in _ATTRIBUTE.findall(attributes):
-            names.update(value.strip("\"'").lower().split())
-    main, other = _named(names)
-    if tag in _MAIN_TAGS and not (other and above < 0):
-        return MAIN_EVIDENCE + min(main - other, 0.0)
-    if other > main:
-        return max(min(above, 0.0) - (other - main), -WORD_EVIDENCE)
-    if above < 0:
+    tag, holds = element.tag, element.holds_main
+    if tag == "form" and holds:
+        return above  # the page is in a form
+    if tag in _OTHER_TAGS or (tag == "header" and above < ARTICLE_EVIDENCE):
+        return -OTHER_EVIDENCE
+    main, other = _named(element.names, holds)
+    if tag in _MAIN_TAGS:
+        if other >= OTHER_EVIDENCE and main < MAIN_EVIDENCE:
+            return -OTHER_EVIDENCE
+        return ARTICLE_EVIDENCE
+    if tag in ("html", "body"):
         return above
-    if other:
-        return main - other
-    return max(above, main)
+    if other >= OTHER_EVIDENCE:
+        return -OTHER_EVIDENCE
+    if tag in ("ul", "ol") and _link_list(element):
+        return -OTHER_EVIDENCE
+    if above >= ARTICLE_EVIDENCE:
+        return above
+    if other > main:
+        return min(above, 0.0) - (other - main) if above > -PART_EVIDENCE else above
+    return above if above < 0 else max(above, main - other)
+
+
+def _link_list(element: Element) -> bool:
+    """Whether a list is short links and little else."""
+    return (
+        element.items > 1
+        and element.linked >= LIST_LINKED * element.chars
+        and element.chars <= LIST_ITEM * element.items
+    )
+
+
+def _judge(elements: list[Element], blocks: list[Block]) -> None:
+    """Meanings of blocks, from what is known of the elements around them."""
+    for element in reversed(elements):
+        if element.parent >= 0 and (element.holds_main or element.tag in ("article", "main", "h1")):
+            elements[element.parent].holds_main = True
+    for block in blocks:
+        at = block.element
+        while at > 0 and elements[at].tag not in ("ul", "ol"):
+            at = elements[at].parent
+        elements[at].chars += len(block.text)
+        elements[at].linked += block.linked
+        elements[at].items += 1
+    meanings: list[float] = []
+    for element in elements:
+        meanings.append(_meaning(element, meanings[element.parent]) if element.parent >= 0 else 0.0)
+    for block in blocks:
+        block.meaning = meanings[block.element]
+
+
+def _names(attributes: str) -> frozenset[str]:
+    if not attributes or "=" not in attributes:
+        return frozenset()
+    values = _ATTRIBUTE.findall(attributes)
+    return frozenset(n for v in values for n in v.strip("\"'").lower().split())
 
 
 def page_blocks(html: str) -> list[Block]:
     blocks: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, number, meaning
+    elements = [Element("", -1, frozenset())]
+    stack: list[tuple[str, int]] = [("", 0)]  # tag and number of open elements
     parts: list[str] = []
-    linked = numbers = links = 0
+    linked = links = 0
     at, n = 0, len(html)
 
     def close() -> None:
@@ -145,9 +217,9 @@ def page_blocks(html: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             holder = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _INLINE)
-            tag, _, meaning = stack[holder]
+            tag, number = stack[holder]
             parent = stack[max(holder - 1, 0)][1]
-            blocks.append(Block(text, linked, parent, tag, meaning))
+            blocks.append(Block(text, min(linked, len(text)), parent, tag, number))
         parts.clear()
         linked = 0
 
@@ -201,14 +273,17 @@ def page_blocks(html: str) -> list[Block]:
                     break
         if tag in _VOID or token[3].endswith("/") and tag not in _INLINE and tag != "p":
             continue
-        numbers += 1
-        stack.append((tag, numbers, _meaning(tag, token[3], stack[-1][2])))
+        elements.append(Element(tag, stack[-1][1], _names(token[3])))
+        stack.append((tag, len(elements) - 1))
         links += tag == "a"
     close()
+    _judge(elements, blocks)
     return blocks
 
 
-N_FEATURES = 9
+N_FEATURES = 8
+# features that are an element's name
+ELEMENT_FEATURES = slice(6, 8)
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
@@ -225,7 +300,6 @@ def block_features(blocks: list[Block]) -> np.ndarray:
             b.text[-1] in ".!?",
             b.tag == "p",
             b.tag in _HEADINGS,
-            b.tag in ("li", "td", "th", "dd", "dt"),
         )
     return out
 
@@ -239,11 +313,13 @@ def train(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     for _ in range(TRAINING_STEPS):
         error = 1 / (1 + np.exp(-features @ weights)) - labels
         weights -= 1.0 * (features.T @ (share * error) / len(labels) + 1e-3 * weights)
+        # labels come from elements: what their names alone tell must not decide
+        weights[ELEMENT_FEATURES] = np.clip(weights[ELEMENT_FEATURES], -ELEMENT_WEIGHT, ELEMENT_WEIGHT)
     return weights
 
 
 def _sample(html: str) -> tuple[list[float], list[int]]:
-    # words that are only part of a name do not teach
+    # names that say little do not teach
     blocks = [b for b in page_blocks(html) if abs(b.meaning) > PART_EVIDENCE]
     return block_features(blocks).ravel().tolist(), [int(b.meaning > 0) for b in blocks]
 

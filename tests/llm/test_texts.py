@@ -451,15 +451,71 @@ def test_html_words_and_tags_can_be_outvoted(spark):
     assert {k: t for k, t in got.items() if t != f"Title\n\n{one}\n\n{two}"} == {}
 
 
+LONG = "A paragraph of quite ordinary length, with commas and marks, that goes on and then ends."
+ARTICLE = f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG} Again.</p></article>"
+BESIDE = [
+    "<footer>%s</footer>", "<aside>%s</aside>", "<nav>%s</nav>", "<header>%s</header>",
+    "<form>%s</form>", "<div class=ad>%s</div>", "<div class=cookie-notice>%s</div>",
+    "<div id=sidebar>%s</div>", "<div class=comments>%s</div>", "<div class=post-footer>%s</div>",
+    "<section role=complementary>%s</section>", "<ul class=menu><li>%s</li></ul>",
+]
+
+
+@pytest.fixture(scope="module")
+def fitted(spark, small):
+    """Weights of the given pages."""
+    return html_cut.fit(spark.read.parquet(f"{small}/pages.parquet"))
+
+
+@pytest.mark.parametrize("element", BESIDE)
+def test_html_paragraphs_of_boilerplate_stay_out(fitted, element):
+    want = f"Title\n\n{LONG}\n\n{LONG} Again."
+    other = element % f"<p>{LONG} Not this.</p>"
+    plain = f"<div class=content>{ARTICLE[9:-10]}</div>"
+    pages = [ARTICLE + other, other + ARTICLE, other + plain, f"<body class=page>{plain}{other}"]
+    if "<header" not in element:  # an article's own header holds its title
+        pages.append(ARTICLE.replace("</article>", other + "</article>"))
+    for page in pages:
+        assert html_cut.main_text(page, fitted) == want, page
+
+
+def test_html_articles_in_forms_and_described_elements(fitted):
+    want = f"Title\n\n{LONG}\n\n{LONG} Again."
+    inner = ARTICLE[9:-10]
+    for page in (
+        f"<form action=x>{ARTICLE}</form>",
+        f"<form id=page><div class=x>{inner}</div></form>",
+        f"<div class=layout-right-sidebar>{inner}</div>",
+        f"<div class=has-sidebar>{inner}</div>",
+        f"<div class=site-header-fixed><main>{inner}</main></div>",
+    ):
+        assert html_cut.main_text(page, fitted) == want, page
+    assert html_cut.main_text(f"<form><p>{LONG}</p><button>Send</button></form>", fitted) == ""
+
+
+def test_html_article_keeps_tables_lists_and_formulas(fitted):
+    page = (
+        f"<article><h1>Title</h1><p>{LONG}</p><ul><li>One</li><li>Two small</li></ul>"
+        "<table><tr><th>k</th><td>12</td></tr></table><dl><dt>Term</dt><dd>What</dd></dl>"
+        "<p>See <math><mi>x</mi></math> and <object>that</object> there.</p>"
+        "<ol><li><a href=/a>A link</a> and words that are not linked</li><li>b</li></ol>"
+        "<ul><li><a href=/1>Read one</a></li><li><a href=/2>Read two</a></li></ul></article>"
+    )
+    blocks = html_cut.main_text(page, fitted).split("\n\n")
+    assert blocks[:8] == ["Title", LONG, "One", "Two small", "k", "12", "Term", "What"]
+    assert blocks[8:] == ["See x and that there.", "A link and words that are not linked", "b"]
+
+
 def test_html_boilerplate_stays_boilerplate():
-    """A boilerplate tag and repeated words are not undone by words below."""
+    """Boilerplate tags and names are not undone by words below."""
     low = lambda html: [b.meaning < 0 for b in html_cut.page_blocks(html)]
     assert low("<aside><article><p>x</p></article></aside>") == [True]
     assert low("<div class=comments><article class=comment-body><p>x</p></article></div>") == [True]
+    assert low("<article class=comment><p>x</p></article>") == [True]
     assert low("<div class=comments><div class=content><p>x</p></div></div>") == [True]
     assert low("<article><p>x</p><div class=post-footer>y</div></article>") == [False, True]
     deep = html_cut.page_blocks("<div class=ad>" * 9 + "x")
-    assert deep[0].meaning == -html_cut.WORD_EVIDENCE
+    assert deep[0].meaning == -html_cut.OTHER_EVIDENCE
 
 
 def test_minimum_cut_equals_brute_force():
