@@ -7,13 +7,20 @@ the columns of ``documents``; each works on all its predecessor kept.
 Quality rules and the quality classifier remove documents, line deduplication
 shortens texts, near-duplicate removal keeps the document with the smallest id of
 every group, and packing places what is left into sequences.
+
+Defined cases, of the whole: a null text is an empty one, which the rules reject; a null
+language or source is one of its own to the rules; rows without an id are judged like
+others, and of copies among them one stays; rows equal in id and text are copies; rows of
+one id with different texts are judged by their texts; texts of any length are read
+whole; columns beyond those of ``documents`` travel along up to the last stage; an empty
+table passes every stage and gives no pieces.  Each stage states its own cases.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratavec.llm import line_dedup, packing, quality_rules, simhash, subword_classifier
+from stratavec.llm import line_dedup, near_copies, packing, quality_rules, subword_classifier
 from stratavec.llm.common import stored, table
 
 
@@ -33,7 +40,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

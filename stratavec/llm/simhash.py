@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavec.llm.common import stored, without_id_repeats
+from stratavec.llm.common import stored
 from stratavec.llm.components import components
 
 BITS = 64
@@ -54,7 +54,7 @@ PROBE_COST = 200.0
 STRETCH = 1 << 14
 
 
-def fingerprint(text: str) -> int:
+def fingerprint(text: str, seed: int = HASH_SEED) -> int:
     """SimHash of a text, unsigned."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -62,14 +62,14 @@ def fingerprint(text: str) -> int:
     joined = b" ".join(words)
     hash_of = xxhash.xxh64_intdigest
     if len(words) <= SHINGLE:
-        return hash_of(joined, HASH_SEED)
+        return hash_of(joined, seed)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][: len(words) - SHINGLE + 1].tolist()
     stops = ends[SHINGLE - 1 :].tolist()
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(starts), STRETCH):
         hashes = [
-            hash_of(joined[s:e], HASH_SEED)
+            hash_of(joined[s:e], seed)
             for s, e in zip(starts[at : at + STRETCH], stops[at : at + STRETCH])
         ]
         packed = np.array(hashes, dtype=np.uint64).astype(">u8").view(np.uint8)
@@ -154,12 +154,14 @@ def _within(share: np.ndarray, limit: int) -> list[float]:
     return np.cumsum(exact).tolist()
 
 
-def allocated(groups: list[list[int]], share: np.ndarray, n: int) -> tuple[float, list[int]]:
+def allocated(
+    groups: list[list[int]], share: np.ndarray, n: int, limit: int = MAX_BITS
+) -> tuple[float, list[int]]:
     """Cheapest thresholds of these groups and their estimated cost."""
-    budget = MAX_BITS + 1  # shared out as t + 1
+    budget = limit + 1  # shared out as t + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
-        chance = _within(share[group], MAX_BITS)
+        chance = _within(share[group], limit)
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
             for given in range(budget - used + 1):
@@ -174,13 +176,13 @@ def allocated(groups: list[list[int]], share: np.ndarray, n: int) -> tuple[float
     return best[budget]
 
 
-def plan(n: int, both: np.ndarray) -> list[tuple[list[int], int]]:
+def plan(n: int, both: np.ndarray, limit: int = MAX_BITS) -> list[tuple[list[int], int]]:
     """Groups of bits to probe, with their thresholds."""
     correlation, share = correlations(n, both), np.diag(both) / n
     options = []
     for m in range(1, MAX_GROUPS_OF_BITS + 1):
         groups = grouped_bits(correlation, m)
-        cost, thresholds = allocated(groups, share, n)
+        cost, thresholds = allocated(groups, share, n, limit)
         options.append((cost, m, list(zip(groups, thresholds))))
     return [(g, t) for g, t in min(options)[2] if t >= 0]
 
@@ -191,7 +193,9 @@ def _mask(bits: list[int]) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def probes(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+def probes(
+    distinct: DataFrame, parts: list[tuple[list[int], int]], carried: tuple[str, ...] = ("fp",)
+) -> DataFrame:
     """``(part, value, fp)`` of every fingerprint and every value it probes."""
     out = None
     for number, (bits, threshold) in enumerate(parts):
@@ -199,7 +203,7 @@ def probes(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame
         own = F.col("fp").bitwiseAND(F.lit(_mask(bits)))
         # bound here and now: the function runs before the next round
         value = F.explode(F.transform(F.lit(flips), lambda flip: own.bitwiseXOR(flip)))
-        rows = distinct.select(F.lit(number).alias("part"), value.alias("value"), "fp")
+        rows = distinct.select(F.lit(number).alias("part"), value.alias("value"), *carried)
         out = rows if out is None else out.union(rows)
     return out
 
@@ -244,6 +248,16 @@ def links(distinct: DataFrame) -> DataFrame:
     if n < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("false")
     rows = stored(probes(distinct, plan(n, both)), "probes")
+    return (
+        task_groups(rows, ("fp",))
+        .groupBy("g", "i", "j")
+        .applyInArrow(lambda t: _verified(t.select(["part", "value", "fp"])), "a long, b long")
+    )
+
+
+def task_groups(rows: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """Probes dealt to task groups ``(g, i, j)`` of a bounded size, in which all that
+    share a value meet: small values together, chunks of a large one pair by pair."""
     counts = rows.groupBy("part", "value").count()
     total = rows.count()
     hot = (
@@ -254,7 +268,7 @@ def links(distinct: DataFrame) -> DataFrame:
     spot = F.pmod(F.xxhash64("part", "value"), F.lit(groups))
     placed = rows.join(hot, ["part", "value"], "left")
     small = placed.filter(F.col("n_chunks").isNull()).select(
-        "part", "value", "fp", spot.alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")
+        "part", "value", *carried, spot.alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j")
     )
     chunk = F.pmod(F.xxhash64(F.lit(1), F.col("fp")), F.col("n_chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
@@ -265,17 +279,13 @@ def links(distinct: DataFrame) -> DataFrame:
         .select(
             "part",
             "value",
-            "fp",
+            *carried,
             (-F.lit(1) - F.pmod(F.xxhash64("part", "value"), F.lit(1 << 40))).alias("g"),
             (F.least("c", "o") + 1).alias("i"),
             (F.greatest("c", "o") + 1).alias("j"),
         )
     )
-    return (
-        small.union(large)
-        .groupBy("g", "i", "j")
-        .applyInArrow(lambda t: _verified(t.select(["part", "value", "fp"])), "a long, b long")
-    )
+    return small.union(large)
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -294,15 +304,3 @@ def components_of(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of every document."""
     return components_of(docs).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of every group the row with the smallest id; rows without an id all stay."""
-    removed = (
-        components_of(docs.select("doc_id", "text"))
-        .filter("doc_id != component_id")
-        .select("doc_id")
-        .distinct()
-    )
-    kept = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
-    return without_id_repeats(kept)
