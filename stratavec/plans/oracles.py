@@ -353,6 +353,72 @@ def _window_query(condition: str) -> str:
     )
 
 
+# fixed values: start words and message order of the hash (RFC 7693)
+_BLAKE2B_START = (
+    0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1,
+    0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179,
+)
+_BLAKE2B_ORDER = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15),
+    (14, 10, 4, 8, 9, 15, 13, 6, 1, 12, 0, 2, 11, 7, 5, 3),
+    (11, 8, 12, 0, 5, 2, 15, 13, 10, 14, 3, 6, 7, 1, 9, 4),
+    (7, 9, 3, 1, 13, 12, 11, 14, 2, 6, 5, 10, 4, 0, 15, 8),
+    (9, 0, 5, 7, 2, 4, 10, 15, 14, 1, 11, 12, 6, 8, 3, 13),
+    (2, 12, 6, 10, 0, 11, 8, 3, 4, 13, 7, 5, 15, 14, 1, 9),
+    (12, 5, 1, 15, 14, 13, 4, 10, 0, 7, 6, 3, 9, 2, 8, 11),
+    (13, 11, 7, 14, 12, 1, 3, 9, 5, 0, 15, 4, 8, 6, 2, 10),
+    (6, 15, 14, 9, 11, 3, 0, 8, 12, 2, 13, 7, 1, 4, 10, 5),
+    (10, 2, 8, 4, 7, 6, 1, 5, 15, 11, 9, 14, 3, 12, 13, 0),
+)
+
+
+def _blake2b_steps() -> str:
+    """384 steps ``[p, q, s, z, r]``: p grows by q and message word z, then s is
+    xor-ed with p and turned by r.  Places 1 .. 16 are the state, 17 .. 32 the message."""
+    corners = [(i, 4 + i, 8 + i, 12 + i) for i in range(4)]
+    corners += [(i, 4 + (i + 1) % 4, 8 + (i + 2) % 4, 12 + (i + 3) % 4) for i in range(4)]
+    steps = []
+    for turn in range(12):
+        order = _BLAKE2B_ORDER[turn % len(_BLAKE2B_ORDER)]
+        for k, (a, b, c, d) in enumerate(corners):
+            x, y = order[2 * k] + 17, order[2 * k + 1] + 17
+            steps += [(a + 1, b + 1, d + 1, x, 32), (c + 1, d + 1, b + 1, 0, 24)]
+            steps += [(a + 1, b + 1, d + 1, y, 16), (c + 1, d + 1, b + 1, 0, 63)]
+    return ", ".join(str(list(s)) for s in steps)
+
+
+def _blake2b_id(value: str) -> str:
+    """Signed little-endian 8-byte hash of a string of at most 128 bytes."""
+    whole = "18446744073709551616::HUGEINT"
+    first = list(_BLAKE2B_START)
+    first[0] ^= 0x01010008
+    own = [str(w) for w in first] + [str(w) for w in _BLAKE2B_START]
+    # counter of bytes, and the mark of the last block
+    own[12] = f"xor({own[12]}::HUGEINT, octet_length(encode({value}))::HUGEINT)"
+    own[14] = str(_BLAKE2B_START[6] ^ (2**64 - 1))
+    padded = f"rpad(hex(encode({value})), 256, '0')"
+    word = "concat(" + ", ".join(f"h[i * 16 + {2 * b + 1} : i * 16 + {2 * b + 2}]" for b in range(7, -1, -1)) + ")"
+    message = (
+        f"list_transform(range(16), lambda i: list_transform([{padded}], "
+        f"lambda h: ('0x' || {word})::UBIGINT::HUGEINT)[1])"
+    )
+    at = lambda k: f"v[e[{k}]::BIGINT]"
+    grown = f"({at(1)} + {at(2)} + CASE WHEN e[4] > 0 THEN {at(4)} ELSE 0 END)"
+    turned = f"(t >> e[5]::INT) + ((t << (64 - e[5]::INT)) % {whole})"
+    step = (
+        f"list_transform([{grown} % {whole}], lambda g: list_transform([xor({at(3)}, g)], "
+        f"lambda t: list_transform(v, lambda w, i: CASE WHEN i = e[1] THEN g WHEN i = e[3] "
+        f"THEN {turned} ELSE w END))[1])[1]"
+    )
+    state = f"list_concat([{', '.join(x + '::HUGEINT' for x in own)}], {message})"
+    done = f"list_reduce([{_blake2b_steps()}]::HUGEINT[][], lambda v, e: {step}, {state})"
+    mixed = f"list_transform([{done}], lambda v: xor(xor({first[0]}::HUGEINT, v[1]), v[9]))[1]"
+    return (
+        f"list_transform([{mixed}], lambda x: CASE WHEN x >= 9223372036854775808::HUGEINT "
+        f"THEN x - {whole} ELSE x END)[1]::BIGINT"
+    )
+
+
 def _run_query(condition: str) -> str:
     return (
         f"SELECT {LOGIT_ROWS} FROM (SELECT *, list_dot_product(qv, kv) * pow({DIM}::DOUBLE, -0.5) "
@@ -646,6 +712,18 @@ _TEXTS: dict[str, str] = {
     ),
     "stream_capture": f"SELECT {STORED_ROWS} FROM cap",
 }
+_TEXTS["normalize_example_id_blake2b"] = (
+    "SELECT doc_id, n_chars AS as_long, "
+    + ", ".join(
+        (
+            _blake2b_id("concat('id-', doc_id)") + " AS as_string",
+            _blake2b_id("doc_id::VARCHAR") + " AS as_digits",
+            "CASE WHEN n_chars % 4 = 0 THEN n_chars // 4 ELSE "
+            + _blake2b_id("(n_chars / 4.0::DOUBLE)::VARCHAR") + " END AS as_double",
+        )
+    )
+    + ", (lang = 'en')::BIGINT AS as_boolean FROM documents"
+)
 _TEXTS["custom_sampler_udf"] = _TEXTS["custom_sampler"]
 _TEXTS["gather_from_store"] = _TEXTS["gather_vectors"]
 _TEXTS["encode_in_row"] = _TEXTS["stream_sequences"] = _TEXTS["encode_sequences"]

@@ -15,7 +15,7 @@ WRITING = {
     "corpus_stream", "write_capture", "overwrite_configs", "append_rows", "list_configs",
     "dataset_card_stats", "read_config", "read_config_prefix", "publish_branch", "reset_root",
     "stream_capture", "stream_bucket_counts", "capture_run", "capture_run_sampled",
-    "session_rows", "session_counts", "corpus_stream_take", "stream_session",
+    "session_rows", "session_counts", "corpus_stream_take", "stream_session", "stream_sequences",
 }
 
 
