@@ -5,12 +5,16 @@ length is all the packing needs: at most ``CAPACITY`` numbers, whatever the
 corpus.  On these the driver plans in *patterns* -- one filling of a sequence,
 used for as many sequences as its lengths last:
 
-* best fit in decreasing length gives the first solution;
-* a branch-and-bound search completes a bin around the largest length left.  It
-  enumerates the fillings that no other filling dominates, best filled first,
-  and gives up a branch once its waste can no longer beat the best solution;
-* it ends when the solution meets the bound ceil(tokens / capacity) or after
-  ``SEARCH_NODES`` nodes, with the best solution found.
+* best fit in decreasing length gives the first solution; where a bound says that there
+  may be better ones, so do completions of the fullest kind with some of the longest
+  pieces set aside, which then share sequences among themselves;
+* a branch-and-bound search completes a bin around the largest length left.  It tries
+  the fullest filling there is, found over all reachable sums, and other fillings that
+  no filling dominates, and gives up a branch once its waste can no longer beat the best
+  solution;
+* it ends when the solution meets a lower bound or after ``SEARCH_NODES`` nodes, with the
+  best solution found.  The bound counts tokens, and what pieces too long for each other
+  leave unused.
 
 Pieces of one length are interchangeable, so a piece finds its sequence from its
 number among those of its length.  The numbers come from per-bucket counts and a
@@ -43,6 +47,9 @@ from stratavec.llm.token_units import LETTERS, UnitMemory
 CAPACITY = 2048
 END_TOKEN = 0
 SEARCH_NODES = 4000
+# shares of the pieces that are set aside, longest first, and rounds around the best one
+SET_ASIDE = (0.0, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3)
+SET_ASIDE_ROUNDS = 3
 # fillings tried around one largest length, and items a filling is searched to
 BRANCHES = 4
 FILL_STEPS = 600
@@ -154,13 +161,57 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return done + [(pattern, number) for (_, pattern), number in bins.items()]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by tokens, and, for every threshold, by the
+    pieces longer than half, each of which has a sequence of its own."""
+    lengths = sorted((n for n in counts if counts[n]), reverse=True)
+    total = sum(n * counts[n] for n in lengths)
+    best = -(-total // capacity)
+    for small in [0, *[n for n in lengths if 2 * n <= capacity]]:
+        alone = sum(counts[n] for n in lengths if n > capacity - small)
+        large = [n for n in lengths if capacity < 2 * n and n <= capacity - small]
+        number = sum(counts[n] for n in large)
+        room = number * capacity - sum(n * counts[n] for n in large)
+        rest = sum(n * counts[n] for n in lengths if small <= n and 2 * n <= capacity)
+        best = max(best, alone + number + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def fullest(room: int, counts: dict[int, int], lengths: list[int]) -> Pattern:
+    """The filling that leaves least of ``room``, of those the one with the longest items.
+
+    Reachable sums are the bits of one number per length, shortest lengths first; the
+    filling is read off from the longest length back.
+    """
+    fitting = [n for n in lengths if n <= room]  # longest first
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for n in reversed(fitting):
+        sums = reach[-1]
+        for _ in range(min(counts[n], room // n)):
+            more = (sums | sums << n) & mask
+            if more == sums:
+                break
+            sums = more
+        reach.append(sums)
+    left, chosen = reach[-1].bit_length() - 1, []
+    for k, n in enumerate(fitting):
+        below = reach[len(fitting) - k - 1]
+        for use in range(min(counts[n], left // n), 0, -1):
+            if below >> (left - use * n) & 1:
+                chosen.append((n, use))
+                left -= use * n
+                break
+    return tuple(chosen)
+
+
 def fillings(room: int, counts: dict[int, int], lengths: list[int]) -> list[Pattern]:
     """Undominated ways to fill ``room``, the fullest first.
 
     A filling is given up if one length more still fits into it, or if another
     uses the same items but a longer one in the place of one of them.
     """
-    best: list[tuple[int, int, Pattern]] = []
+    first = fullest(room, counts, lengths)
+    best: list[tuple[int, int, Pattern]] = [(room - sum(n * k for n, k in first), len(first), first)]
     steps = 0
     stack: list[tuple[int, int, Pattern]] = [(0, room, ())]
     smallest = lengths[-1] if lengths else room + 1
@@ -183,13 +234,60 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int]) -> list[Patt
     best.sort(key=lambda b: (b[0], b[1], tuple(-n for n, _ in b[2])))
     kept: list[Pattern] = []
     for _, _, pattern in best:
-        if not any(_dominates(other, pattern) for other in kept):
+        if pattern not in kept and not any(_dominates(other, pattern) for other in kept):
             kept.append(pattern)
             if len(kept) == BRANCHES:
                 break
     return kept
 
 
+def fullest_completion(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Bins around the largest length left, each filled as far as it goes."""
+    left, out = {n: c for n, c in counts.items() if c}, []
+    while left:
+        largest = max(left)
+        after = {**left, largest: left[largest] - 1}
+        lengths = sorted((n for n in after if after[n]), reverse=True)
+        items = {largest: 1}
+        for n, k in fullest(capacity - largest, after, lengths):
+            items[n] = items.get(n, 0) + k
+        times = min(left[n] // k for n, k in items.items())
+        for n, k in items.items():
+            left[n] -= times * k
+            if not left[n]:
+                del left[n]
+        out.append((tuple(sorted(items.items(), reverse=True)), times))
+    return out
+
+
+def set_aside(counts: dict[int, int], capacity: int, share: float) -> list[tuple[Pattern, int]]:
+    """The longest pieces among themselves by best fit, the others by completion."""
+    wanted, long, rest = round(share * sum(counts.values())), {}, dict(counts)
+    for n in sorted(counts, reverse=True):
+        long[n] = min(wanted, counts[n])
+        rest[n] -= long[n]
+        wanted -= long[n]
+    long = {n: c for n, c in long.items() if c}
+    return best_fit(long, capacity) + fullest_completion(rest, capacity)
+
+
+def first_solution(counts: dict[int, int], capacity: int, bound: int) -> list[tuple[Pattern, int]]:
+    """The best of best fit and of completions with some pieces set aside."""
+    size = lambda plan: sum(k for _, k in plan)
+    best, at = best_fit(counts, capacity), 0.0
+    shares, step = list(SET_ASIDE), 0.02
+    for _ in range(SET_ASIDE_ROUNDS):
+        for share in shares:
+            if size(best) <= bound:
+                return best
+            plan = set_aside(counts, capacity, share)
+            if size(plan) < size(best):
+                best, at = plan, share
+        step /= 2
+        shares = [s for s in (at - step, at + step) if 0 < s < 1]
+    return best
+
+
 def _dominates(better: Pattern, worse: Pattern) -> bool:
     """Each item of ``worse`` has its own item in ``better`` that is as long."""
     a = [n for n, k in better for _ in range(k)]
@@ -203,8 +301,8 @@ def bin_completion(
     """Patterns with the number of sequences that use them."""
     counts = {n: c for n, c in counts.items() if c}
     total = sum(n * c for n, c in counts.items())
-    bound = -(-total // capacity)
-    best = best_fit(counts, capacity)
+    bound = lower_bound(counts, capacity)
+    best = first_solution(counts, capacity, bound)
     best_bins = sum(k for _, k in best)
     left, used = dict(counts), []  # what is not packed yet; patterns in use
     number = waste = 0

@@ -132,6 +132,69 @@ def test_bin_completion_beats_best_fit():
     assert sum(k for _, k in packing.bin_completion(counts, 10)) == 3
 
 
+def fewest(pieces, capacity):
+    """Least number of bins, by trying everything."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= pieces[k]}):
+            rest = list(rooms)
+            rest.remove(room)
+            place(k + 1, [*rest, room - pieces[k]])
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_is_least_for_few_pieces():
+    rnd = random.Random(12)
+    for _ in range(150):
+        capacity = rnd.choice([10, 30, 100])
+        low = rnd.randint(1, capacity // 2)
+        pieces = [rnd.randint(low, capacity) for _ in range(rnd.randint(1, 10))]
+        counts = dict(Counter(pieces))
+        want = fewest(pieces, capacity)
+        assert packing.lower_bound(counts, capacity) <= want
+        assert sum(k for _, k in packing.bin_completion(counts, capacity)) == want, pieces
+
+
+def test_fullest_filling():
+    rnd = random.Random(13)
+    for _ in range(200):
+        counts = Counter(rnd.randint(1, 30) for _ in range(rnd.randint(0, 8)))
+        room = rnd.randint(1, 60)
+        items = list(counts.elements())
+        sums = {0}
+        for n in items:
+            sums |= {s + n for s in sums}
+        got = packing.fullest(room, counts, sorted(counts, reverse=True))
+        assert sum(n * k for n, k in got) == max(s for s in sums if s <= room)
+        assert all(k <= counts[n] for n, k in got)
+
+
+def test_planted_packings():
+    """Triples that fill a sequence, and pieces that go by threes or by twos."""
+    rnd = random.Random(1)
+    triples = []
+    while len(triples) < 900:
+        a, b = rnd.randint(500, 900), rnd.randint(500, 900)
+        if 500 <= 2048 - a - b <= 900:
+            triples += [a, b, 2048 - a - b]
+    size = lambda counts: sum(k for _, k in packing.bin_completion(counts))
+    assert size(dict(Counter(triples))) <= 1.02 * 300
+    mixed = dict(Counter(rnd.randint(500, 900) for _ in range(1500)))
+    assert size(mixed) <= 1.04 * packing.lower_bound(mixed, packing.CAPACITY)
+    assert sum(k for _, k in packing.best_fit(mixed, packing.CAPACITY)) > 1.08 * size(mixed)
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
