@@ -8,7 +8,8 @@ The estimate concentrates over *all* rows: a step needs, per group, the sums of
 the ``h`` rows nearest to the current centre.  Rows are put into fine bins of
 their distance, and counts, sums and cross products per bin are partial
 aggregates, so a group of any size is a few thousand rows after the shuffle.
-Several starts run side by side; the one with the smallest determinant wins.
+Several starts run side by side, each until its determinant no longer falls; the one
+with the smallest determinant wins.
 
 Defined cases: a null text has no words (and fails the word count); null
 languages and sources are groups of their own; rows of a group with fewer than
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,12 +38,13 @@ MAX_REPEAT_PERCENT = 50
 # share of a group's rows that must be regular
 COVERAGE = 0.75
 MIN_GROUP = 60
-MAX_STEPS = 6
+# a group goes on while a step lowers the logarithm of its determinant by more than this
+SETTLED = 1e-4
 # a rejected vector lies beyond this quantile of its group's distances
 CUTOFF_QUANTILE = 1 - 1e-9
 # bins of distance per doubling
 BINS_PER_DOUBLING = 32
-# the group of all rows; keys of languages and sources start otherwise
+# the group of all rows; names of languages and sources start otherwise
 EVERY = "*"
 # differences smaller than these are never what rejects a text
 SCALES = (0.05, 0.015, 0.03, 0.03, 0.10)
@@ -229,23 +232,26 @@ def covariance_fits(rows: DataFrame) -> DataFrame:
     ``inverse`` is scaled so that the distance which holds ``COVERAGE`` of the
     group has its chi-square value.
     """
-    fits = stored(_starts(rows), "mcd")
-    previous = math.inf
-    for step in range(MAX_STEPS):
+    going, settled, step = stored(_starts(rows), "mcd"), [], 0
+    while going.head(1):
         bins = (
-            rows.join(fits.select("grp", "start", "centre", "inverse"), "grp")
+            rows.join(going.select("grp", "start", "centre", "inverse"), "grp")
             .withColumn("bin", _bin(_distance(F.col("x"), F.col("centre"), F.col("inverse"))))
             .groupBy("grp", "start", "bin")
             .agg(*_moments())
         )
+        new = bins.groupBy("grp", "start").applyInArrow(_concentrate, _FIT)
+        before = going.select("grp", "start", F.col("log_det").alias("_before"))
+        # a determinant cannot fall for ever: every step lowers it by so much, or is the last
+        falls = F.col("log_det") < F.col("_before") - F.lit(SETTLED)
         fits = stored(
-            bins.groupBy("grp", "start").applyInArrow(_concentrate, _FIT), f"mcd-{step}"
+            new.join(before, ["grp", "start"]).withColumn("_falls", falls), f"mcd-{step}"
         )
-        level = fits.agg(F.sum("log_det")).first()[0]
-        if level is None or abs(previous - level) <= 1e-5 * max(1.0, abs(level)):
-            break
-        previous = level
-    best = fits.groupBy("grp").agg(
+        settled.append(fits.filter(~F.col("_falls")))
+        going, step = fits.filter("_falls").drop("_before", "_falls"), step + 1
+    if not settled:
+        settled = [going.withColumns({"_before": F.lit(0.0), "_falls": F.lit(False)})]
+    best = reduce(DataFrame.unionByName, settled).groupBy("grp").agg(
         F.min_by(F.struct("centre", "inverse", "reach", "n"), F.struct("log_det", "start")).alias("f")
     )
     unit = chi2_quantile(COVERAGE, N_STATS)
@@ -260,10 +266,14 @@ def covariance_fits(rows: DataFrame) -> DataFrame:
 
 
 def _with_groups(rows: DataFrame) -> DataFrame:
-    language = _key("lang")
+    language, source = _key("lang"), _key("source")
+    # levels and lengths keep names of different groups apart, whatever is in them
     return (
-        rows.withColumn("_all", language)
-        .withColumn("_own", F.concat_ws("|", language, _key("source")))
+        rows.withColumn("_all", F.concat(F.lit("language "), language))
+        .withColumn(
+            "_own",
+            F.concat(F.lit("source "), F.length(language).cast("string"), language, source),
+        )
         .withColumn("_every", F.lit(EVERY))
     )
 
