@@ -7,14 +7,16 @@ in numpy on at most ``SAMPLE_ROWS`` labelled documents (the documented bound;
 everything else covers all rows).  Scoring needs only each vector's contribution
 to the logit, so what a task receives is one number per bucket.
 
-Features are hashed for a whole text at a time with array arithmetic: no word is
-looked at in Python.  A word that repeats the word before it has one more
-feature of its own, shared by all such words (a word bigram).
+Features are hashed for a whole text at a time with array arithmetic over its code
+points: no word is looked at in Python.  Pairs of neighbouring words are features too, and all
+pairs of equal words share one more.
 
 Defined cases: null and empty texts have no features and get the learned prior;
-a label that is null is not used, of repeated labels of a document the smallest
-counts, and of rows with one id the one with the smallest features is learned from; without labels every score is 0.5, with labels of one class only the
-prior decides.  Rows without an id are scored and count as not held out.
+a label that is null or no number is not used, of repeated labels of a document the
+smallest counts, and of rows with one id the one with the smallest features is learned
+from; without labels every score is 0.5, with labels of one class only the prior decides.
+Rows without an id are scored and count as not held out; repeated rows are scored each;
+texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,13 +39,12 @@ GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.5
 SEED = 17
-# bytes of text hashed at once
+# characters of text hashed at once
 STRETCH = 1 << 18
 
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
@@ -52,22 +53,22 @@ def _bucket(value: np.ndarray) -> np.ndarray:
     return ((value * _MIX) >> _SHIFT).astype(np.int32)
 
 
-def _stretches(raw: bytes) -> Iterator[bytes]:
-    """The text in parts of about ``STRETCH`` bytes that end with a word."""
+def _stretches(text: str) -> Iterator[str]:
+    """The text in parts of about ``STRETCH`` characters that end with a word."""
     start = 0
-    while start < len(raw):
-        end = min(len(raw), start + STRETCH)
-        if end < len(raw):
-            cut = raw.rfind(b" ", start, end)
+    while start < len(text):
+        end = min(len(text), start + STRETCH)
+        if end < len(text):
+            cut = text.rfind(" ", start, end)
             end = cut if cut > start else end
-        yield raw[start:end]
+        yield text[start:end]
         start = end
 
 
-def _hashed(part: bytes) -> np.ndarray:
+def _hashed(part: str) -> np.ndarray:
     """Buckets of all features of one stretch, repeats included."""
-    data = np.frombuffer(b" " + part + b" ", dtype=np.uint8)
-    space = _SPACES[data]
+    data = np.frombuffer(f" {part} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
     code = np.where(space, 32, data).astype(np.uint64) + np.uint64(1)
     seen = np.cumsum(space)
     out = []
@@ -78,7 +79,7 @@ def _hashed(part: bytes) -> np.ndarray:
         value = np.full(m, n, dtype=np.uint64)
         for k in range(n):
             value = value * _STEP + code[k : k + m]
-        # only the first and the last byte may be white space
+        # only the first and the last character may be white space
         inner = seen[n - 2 : n - 2 + m] == seen[:m]
         out.append(_bucket(value[inner]))
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
@@ -91,6 +92,7 @@ def _hashed(part: bytes) -> np.ndarray:
         terms = np.where(space, np.uint64(0), code * weight[place])
         words = np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64)
         out.append(_bucket(words))
+        out.append(_bucket(words[:-1] * _STEP + words[1:] * _PAIR))
         again = int((words[1:] == words[:-1]).sum())
         out.append(np.zeros(again, dtype=np.int32))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
@@ -99,7 +101,7 @@ def _hashed(part: bytes) -> np.ndarray:
 def feature_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs."""
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for part in _stretches(text.encode("utf-8", "surrogatepass")):
+    for part in _stretches(text):
         total += np.bincount(_hashed(part), minlength=BUCKETS)
     buckets = np.flatnonzero(total)
     return buckets.astype(np.uint16), total[buckets].astype(np.float32)
@@ -125,7 +127,7 @@ class Model:
 
     def score(self, text: str) -> float:
         total, count = 0.0, 0
-        for part in _stretches(text.encode("utf-8", "surrogatepass")):
+        for part in _stretches(text):
             hashed = _hashed(part)
             total += float(self.contribution[hashed].sum(dtype=np.float64))
             count += len(hashed)
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     their ids are a bounded broadcast, so no text is shuffled.
     """
     usable = (
-        labels.select("doc_id", F.col("quality").cast("int").alias("label"))
+        labels.select("doc_id", F.col("quality").cast("string").try_cast("int").alias("label"))
         .filter("doc_id is not null and label in (0, 1)")
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
