@@ -92,3 +92,7 @@ def test_scratch_folder(spark):
     assert scratch_path(shared, "a").startswith("hdfs:///shared/folder/stratavec-a-")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_path(Session("yarn"), "a")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(Session("local-cluster[3,2,1024]"), "a")
+    for master in ("local", "local[*]", "local[8,2]"):
+        assert "stratavec-a-" in scratch_path(Session(master), "a")
