@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from stratavec.llm.common import stored
 
-MAX_ROUNDS = 60
-
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a")).toDF("u", "v")
@@ -39,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     current = stored(links.filter("a != b").select("a", "b").distinct(), "links")
     seen = None
-    for _ in range(MAX_ROUNDS):
+    # every round brings nodes nearer to their root, so it ends
+    while True:
         current = stored(_small_star(_large_star(current)).distinct(), "links")
         mark = current.agg(
             F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("a", "b") % 1000003)
@@ -47,4 +46,3 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen:
             return current.toDF("node", "root")
         seen = mark
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

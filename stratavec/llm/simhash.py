@@ -20,7 +20,8 @@ group of its own.  Links go through connected components.
 
 Defined cases: a null or empty text has fingerprint zero and links like any
 other; documents without an id get the component of their fingerprint, and null
-if no member has an id.
+if no member has an id; repeated rows are documents of one fingerprint each; texts of
+any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
