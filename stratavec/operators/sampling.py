@@ -35,6 +35,14 @@ class Strategy:
             return buckets.log_bucket(position, self.bucket_size)
         return buckets.uniform_bucket(position, self.bucket_size)
 
+    def bucket_array(self, positions: np.ndarray) -> np.ndarray:
+        """The same buckets for an array of positions."""
+        if self.name == "log_uniform":
+            # exponents of frexp are exact, unlike a logarithm
+            powers = np.frexp((positions + 1).astype(np.float64))[1].astype(np.int64) - 1
+            return np.maximum(powers, buckets.floor_power(self.bucket_size))
+        return positions // self.bucket_size
+
     def keep(self, draw: Column, position: Column) -> Column | None:
         """Condition on the draw, or None if every position is kept."""
         if self.name == "log_uniform":
@@ -217,25 +225,26 @@ def sample_where(groups: DataFrame, strategy: Strategy, predicate: Predicate) ->
 def sample_with_mask(groups: DataFrame, strategy: Strategy, mask: MaskFunction) -> DataFrame:
     """Custom sampler as a Python function from a sequence's positions and
     buckets to one mask entry per position.  A mask of another length is an
-    error; entries are cast to boolean."""
+    error; entries are cast to boolean.
+
+    Positions and buckets follow from the length, so only lengths are sent to
+    Python, and only kept positions come back.  A mask depends on nothing else:
+    it is asked once for every length in an Arrow batch.
+    """
+
+    def kept_of(length: int) -> list[int]:
+        positions = np.arange(length, dtype=np.int64)
+        flags = np.asarray(mask(positions, strategy.bucket_array(positions)))
+        if flags.shape != (length,):
+            raise ValueError(f"mask of shape {flags.shape} for a sequence of {length}")
+        return positions[flags.astype(bool)].tolist()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def kept(positions: pd.Series, position_buckets: pd.Series) -> pd.Series:
-        out = []
-        for p, b in zip(positions, position_buckets):
-            flags = np.asarray(mask(np.asarray(p), np.asarray(b)))
-            if flags.shape != (len(p),):
-                raise ValueError(f"mask of shape {flags.shape} for a sequence of {len(p)}")
-            out.append(np.asarray(p)[flags.astype(bool)])
-        return pd.Series(out)
-
-    arrays = (
-        groups.filter(F.col("n_tokens") > 0)
-        .withColumn("_p", position_range())
-        .withColumn("_b", F.transform("_p", strategy.bucket))
-    )
+    def kept(lengths: pd.Series) -> pd.Series:
+        return lengths.map({n: kept_of(n) for n in lengths.unique().tolist()})
+
     return (
-        arrays.withColumn("position", F.explode(kept("_p", "_b")))
+        groups.filter(F.col("n_tokens") > 0)
+        .withColumn("position", F.explode(kept("n_tokens")))
         .withColumn("bucket", strategy.bucket(F.col("position")))
-        .drop("_p", "_b")
     )

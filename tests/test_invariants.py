@@ -289,3 +289,16 @@ def test_python_tokenizer_runs_once_per_text(spark, small):
     expected = sum(len(w[i : i + 4]) > 0 for t in texts.values() for w in t.split() for i in range(0, len(w), 4))
     assert rows.filter("kind = 'q'").count() == expected
     assert rows.filter("length(token_str) > 4").count() == 0
+
+
+def test_mask_sees_positions_and_buckets_of_every_length(spark):
+    groups = spark.createDataFrame([(i, n) for i, n in enumerate([0, 1, 2, 7, 300, 300, 5000])], "g int, n_tokens int")
+    for strategy in (
+        sampling.sampler_by_name("uniform", 1.0, 64),
+        sampling.sampler_by_name("log_uniform", 1.0, 4),
+        sampling.sampler_by_name("all", 1.0, 32),
+    ):
+        odd = sampling.sample_with_mask(groups, strategy, lambda p, b: (p + b) % 3 == 1)
+        plain = sampling.sample_where(groups, strategy, lambda p, b: (p + b) % 3 == 1)
+        rows = lambda f: sorted(map(tuple, f.select("g", "position", "bucket").collect()))
+        assert rows(odd) == rows(plain) and odd.count() > 0
