@@ -61,6 +61,7 @@ def stream_bucket_counts(rows: DataFrame, path: str, checkpoint: str) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(path)
 
     run_to_end(counts, replace, checkpoint, "complete")
+    _something(counts, path)
 
 
 def run_taken(stream: DataFrame, limit: int, path: str, checkpoint: str) -> None:
@@ -96,6 +97,15 @@ def run_taken(stream: DataFrame, limit: int, path: str, checkpoint: str) -> None
             rows.drop("_file", "_row", "_before").write.mode("overwrite").parquet(target)
 
     run_to_end(stream, take, checkpoint, "append")
+    # beside the folders of later micro-batches, if any come
+    _something(stream.drop("_file", "_row"), path, "/batch=-1")
+
+
+def _something(rows: DataFrame, path: str, below: str = "") -> None:
+    """An empty table at ``path`` where a stream had nothing to write."""
+    spark = rows.sparkSession
+    if not commits.exists(spark, path):
+        spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(path + below)
 
 
 def run_to_end(
