@@ -108,3 +108,39 @@ def test_attention_reads_its_capture_twice(spark, small):
 
     plan = Q.attention_softmax(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("text#") and plan.count("FileScan") - plan.count("ReadSchema: struct<vec_id") <= 2
+
+
+def test_runs_of_a_row_are_those_of_the_table(spark, small):
+    """Runs found in the row of the sequence, and those of windows and an interval join."""
+    from stratavec.operators import runs, tokens
+    from stratavec.plans import queries as Q
+    from stratavec.plans.capture import sampled_tokens
+
+    flag = lambda token: ~token.contains(".")
+    odd = [(-1, ""), (-2, None), (-3, "."), (-4, "a b . . c"), (-5, ". a"), (-6, "a"), (-7, " b. c d e ")]
+    texts = Q.documents(spark, small).unionByName(spark.createDataFrame(odd, "example_id bigint, text string"))
+    settings = Q.replace(Q.D.SETTINGS, strategy="all", layers=(0,), kinds=("q",))
+    found = sampled_tokens(texts, settings, in_run=flag).select(
+        "example_id", "position", "run_start", "run_end"
+    )
+    words = texts.select(
+        "example_id", F.posexplode(tokens.whitespace_tokens(F.col("text"))).alias("position", "token")
+    )
+    grouped = runs.run_groups(words, "example_id", "position", flag(F.col("token")))
+    spans = runs.spans_of_runs(grouped, "example_id", "position")
+    expected = attention.with_runs(words.select("example_id", "position"), spans, "position")
+    rows = lambda frame: sorted(map(tuple, frame.toArrow().to_pandas().fillna(-1).values.tolist()))
+    assert rows(found) == rows(expected)
+    assert found.filter("example_id < 0").count() == 1 + 5 + 2 + 1 + 4
+
+
+@pytest.mark.parametrize("name", ["run_visible_pairs", "run_visible_window_pairs"])
+def test_runs_and_vectors_are_shuffled_once(spark, small, name):
+    from stratavec.plans import queries as Q
+
+    plan = Q.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
+    # vectors: only those of the pair join
+    moved = [line for line in plan.splitlines() if "Exchange hash" in line]
+    assert sum("_block" in line for line in moved) == 2
+    assert not any("_tile" in line for line in moved)
