@@ -17,7 +17,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from itertools import groupby
+from itertools import chain
 from typing import Any, Protocol
 
 import numpy as np
@@ -54,11 +54,11 @@ class BlockModel(Protocol):
 
 
 def _vectors(
-    model: BlockModel, tokens: list[str], first: int, state: Any, layer: int, kind: str, positions: list[int]
+    model: BlockModel, tokens: list[str], first: int, state: Any, layer: int, kind: str, positions: np.ndarray
 ) -> Iterator[np.ndarray]:
     """Checked vectors of positions of one block, a bounded number at a time."""
     for start in range(0, len(positions), POSITIONS_AT_ONCE):
-        wanted = np.array(positions[start : start + POSITIONS_AT_ONCE], dtype=np.int64)
+        wanted = positions[start : start + POSITIONS_AT_ONCE].astype(np.int64)
         if len(wanted) and not (first <= wanted.min() and wanted.max() < first + len(tokens)):
             raise ValueError(f"sampled position beyond the {first + len(tokens)} tokens of its block")
         out = np.asarray(model.vectors(tokens, first, state, layer, kind, wanted), dtype=np.float32)
@@ -76,6 +76,17 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))
 
 
+def _lists(column: pa.Array) -> Callable[[int], list]:
+    """The lists of an Arrow list column by row, null as an empty one."""
+    ends, values = column.offsets.to_numpy(), column.values
+
+    def row(i: int) -> list:
+        first, last = ends[i], ends[i + 1]
+        return values.slice(first, last - first).to_numpy(zero_copy_only=False).tolist()
+
+    return row
+
+
 def token_blocks(examples: DataFrame, size: int = TOKEN_BLOCK) -> DataFrame:
     """``(example_id, block, tokens)`` of sequences ``(example_id, tokens)``."""
     last = F.floor((F.size("tokens") - 1) / F.lit(size)).cast("int")
@@ -100,8 +111,8 @@ def block_states(blocks: DataFrame, model: BlockModel) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            tokens = rows.column("tokens")
-            told = [pickle.dumps(model.digest(t.as_py())) for t in tokens]
+            tokens = _lists(rows.column("tokens"))
+            told = [pickle.dumps(model.digest(tokens(i))) for i in range(rows.num_rows)]
             yield batch(rows.column("example_id").to_pylist(), rows.column("block").to_pylist(), told)
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,28 +177,36 @@ def _encoded(parts: DataFrame, row: T.StructType, model: BlockModel, size: int)
         state_of = tokens_of = object()
         state, tokens = None, []
         for batch in batches:
-            kinds = batch.column("_part").to_pylist()
-            keys = list(zip(batch.column("example_id").to_pylist(), batch.column("block").to_pylist()))
+            if not batch.num_rows:
+                continue
+            kinds = batch.column("_part").to_numpy()
+            told = [batch.column(n).to_numpy() for n in ("example_id", "block")]
             whole = batch.column("_row")
-            told = [whole.field(n).to_pylist() for n in _KEY[1:]]
-            runs = list(zip(kinds, keys, *told[:2]))
-            parts, at = [], 0
-            for (part, key, layer, kind), run in groupby(runs):
-                n = len(list(run))
+            layers = whole.field("layer").fill_null(-1).to_numpy()
+            names = whole.field("kind").fill_null("").dictionary_encode()
+            positions = whole.field("position").fill_null(-1).to_numpy()
+            marks = [kinds, *told, layers, names.indices.to_numpy()]
+            tokens_at = _lists(batch.column("tokens"))
+            # runs of rows that differ in none of these
+            new = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            starts = [0, *new.tolist()]
+            parts = []
+            for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+                part, key = kinds[at], (int(told[0][at]), int(told[1][at]))
                 if part == _STATE:
                     state_of, state = key, pickle.loads(batch.column("state")[at].as_py())
                 elif part == _TOKENS:
-                    if n > 1 or key == tokens_of:
+                    if end - at > 1 or key == tokens_of:
                         raise ValueError(f"more than one sequence for example {key[0]}")
-                    tokens_of, tokens = key, batch.column("tokens")[at].as_py()
+                    tokens_of, tokens = key, tokens_at(at)
                 else:
                     if key != tokens_of or key != state_of:
                         raise ValueError("sampled rows of an example without tokens")
-                    wanted = told[2][at : at + n]
-                    parts += _vectors(model, tokens, key[1] * size, state, layer, kind, wanted)
-                at += n
+                    kind = names.dictionary[names.indices[at].as_py()].as_py()
+                    wanted = positions[at:end]
+                    parts += _vectors(model, tokens, key[1] * size, state, int(layers[at]), kind, wanted)
             if parts:
-                rows = whole.filter(pa.array([k == _ROW for k in kinds]))
+                rows = whole.filter(pa.array(kinds == _ROW))
                 yield pa.RecordBatch.from_arrays([rows, _list_array(parts)], names=["_row", "flat"])
 
     schema = T.StructType(
@@ -222,51 +241,64 @@ def _encoded_in_row(sampled: DataFrame, model: BlockModel, size: int | None) ->
         ]
     )
 
-    def sequence(example: int, tokens: list[str], wanted: list[dict]) -> Iterator[pa.RecordBatch]:
+    def sequence(tokens: list[str], wanted: list[tuple]) -> Iterator[tuple]:
+        """``(layer, kind, places, tokens, vectors)``, a bounded number of places at a time."""
         state, step = None, size or max(len(tokens), 1)
         for first in range(0, len(tokens), step):
             part = tokens[first : first + step]
-            for group in wanted:
-                spots = group["positions"]
+            for layer, kind, spots in wanted:
                 low, high = np.searchsorted(spots, (first, first + len(part)))
                 done = low
-                own = spots[low:high]
-                for out in _vectors(model, part, first, state, group["layer"], group["kind"], own):
+                for out in _vectors(model, part, first, state, layer, kind, spots[low:high]):
                     places = spots[done : done + len(out)]
                     done += len(out)
-                    n = len(places)
-                    columns = [[example] * n, [group["layer"]] * n, [group["kind"]] * n, places]
-                    columns.append([part[p - first] for p in places])
-                    arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
-                    yield pa.RecordBatch.from_arrays([*arrays, _list_array([out])], schema=schema)
+                    yield layer, kind, places, [part[p] for p in (places - first).tolist()], out
             if first + step < len(tokens):
                 state = model.merge(state, model.digest(part))
 
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        examples, layers, kinds, places, words, parts = zip(*held)
+        sizes = [len(p) for p in places]
+        columns = [
+            np.repeat(np.array(examples, dtype=np.int64), sizes),
+            np.repeat(np.array(layers, dtype=np.int32), sizes),
+            np.repeat(np.array(kinds, dtype=object), sizes),
+            np.concatenate(places),
+            list(chain.from_iterable(words)),
+        ]
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+        return pa.RecordBatch.from_arrays([*arrays, _list_array(list(parts))], schema=schema)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for rows in batches:
-            for row in range(rows.num_rows):
-                example, tokens, wanted = (
-                    rows.column(n)[row].as_py() for n in ("example_id", "tokens", "wanted")
-                )
-                yield from _gathered(sequence(example, tokens or [], wanted or []))
+            examples, tokens = rows.column("example_id").to_pylist(), _lists(rows.column("tokens"))
+            groups = rows.column("wanted")
+            ends, each = groups.offsets.to_pylist(), groups.values
+            layers, kinds = (each.field(f).to_pylist() for f in ("layer", "kind"))
+            spots = each.field("positions")
+            bounds, places = spots.offsets.to_pylist(), spots.values.to_numpy(zero_copy_only=False)
+            for row, example in enumerate(examples):
+                wanted = [
+                    (layers[g], kinds[g], places[bounds[g] : bounds[g + 1]])
+                    for g in range(ends[row], ends[row + 1])
+                    if bounds[g] < bounds[g + 1]
+                ]
+                if not wanted:
+                    continue
+                for found in sequence(tokens(row), wanted):
+                    held.append((example, *found))
+                    n += len(found[2])
+                    # small pieces are put together, up to a bounded number of rows
+                    if n >= POSITIONS_AT_ONCE:
+                        yield batch(held)
+                        held, n = [], 0
+        if held:
+            yield batch(held)
 
     return sampled.select("example_id", "tokens", "wanted").mapInArrow(encode, IN_ROW)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small batches put together, up to a bounded number of rows."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= POSITIONS_AT_ONCE:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, rows = [], 0
-    if rows:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 @dataclass(frozen=True)
 class WholeSequence:
     """A function of the whole sequence as a model whose only block is the sequence."""
