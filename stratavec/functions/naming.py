@@ -10,7 +10,10 @@ CONFIG_PATTERN = r"^l(\d{2,})h(\d{2,})([qk])$"
 
 
 def config_name(layer: Column, head: Column, kind: Column) -> Column:
-    return F.format_string("l%02dh%02d%s", layer, head, kind)
+    # format_string parses its pattern for every row, which took longer than the row itself
+    text = lambda value: F.coalesce(value.cast("string"), F.lit("null"))
+    two = lambda n: F.concat(F.when(n.between(0, 9), "0").otherwise(""), text(n))
+    return F.concat(F.lit("l"), two(layer), F.lit("h"), two(head), text(kind))
 
 
 def config_parts(config: Column) -> tuple[Column, Column, Column]:

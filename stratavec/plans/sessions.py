@@ -2,8 +2,8 @@
 
 Every session is one commit (see ``sources.commits``): it refuses a second model and keeps
 the token policy of the first write, also if another session gets ahead of it while it
-writes.  What the records say follows from the log, whose entries were counted by the jobs
-that wrote the rows:
+writes.  What the records say follows from the log, whose entries were counted in the files
+that were written:
 
 * the ledger: what each session added, as counts per config and bucket;
 * the manifest: model name, metadata and exact counts per bucket of what is stored now.

@@ -192,3 +192,28 @@ def test_mixed_root(spark, at):
     assert sorted((r.branch, r.config) for r in found) == [("b", "l00h00q"), ("plain", "l00h00k")]
     assert catalogue.read_config(spark, at["root"], "plain", "l00h00k").count() == 1
     assert catalogue.read_config(spark, at["root"], "none", "l00h00k").count() == 0
+
+
+def test_no_aggregate_beside_the_writing(spark, at, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("rows are counted while they are written")
+
+    monkeypatch.setattr(DataFrame, "observe", refused)
+    path = catalogue.branch_path(at["root"], "b")
+    want = [{"config": c, "bucket": 2, "n_rows": 3} for c in ("l00h00k", "l00h00q")]
+    frame = rows(spark, Q, K, n=3).withColumn("bucket", F.lit(2))
+    assert catalogue.write_snapshot(frame, path)[1] == want
+    assert catalogue.write_snapshot(frame.limit(0), path)[1] == []
+
+
+def test_names_without_a_pattern_for_each_row(spark):
+    from stratavec.functions.naming import config_name
+
+    numbers = [0, 9, 10, 99, 100, -1]
+    frame = spark.createDataFrame([(a, b) for a in numbers for b in numbers], "layer int, head int")
+    named = frame.withColumn("c", config_name(F.col("layer"), F.col("head"), F.lit("q")))
+    for r in named.collect():
+        assert r.c == "l%02dh%02dq" % (r.layer, r.head)
+    assert "format_string" not in named._jdf.queryExecution().executedPlan().toString()
