@@ -110,7 +110,7 @@ def test_nothing_and_wrong_vectors(spark):
         query_rows.query_figures(empty, LAYOUT).collect()
 
 
-@pytest.mark.parametrize("name", ["attention_softmax", "attention_logits"])
+@pytest.mark.parametrize("name", ["attention_softmax", "attention_logits", "logit_softcap"])
 def test_the_capture_is_read_once(spark, small, name):
     plan = Q.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line and "text#" in line]
