@@ -91,6 +91,36 @@ def test_hot_keys_are_broadcast(spark, store):
     assert frame.columns == ["vec_id", "id", "v"]
 
 
+def test_keys_that_are_null_or_missing(spark, store):
+    empty = F.when(F.col("id") < 3, F.col("id") + 19_998)
+    sample = spark.range(200).select(empty.alias("vec_id"), "id")
+    assert store.hot_keys(sample) == []
+    rows = {r["id"]: r["v"] for r in store.gather(sample).collect()}
+    assert len(rows) == 200 and {i for i, v in rows.items() if v is not None} == {0, 1}
+    assert all(r["v"] is None for r in store.gather(sample.filter("vec_id is null")).collect())
+
+
+def test_the_sample_is_read_twice(spark, store):
+    """For its keys and for the join, not for each figure of the keys."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    sample = spark.range(100, 400).select(F.col("id").alias("vec_id")).mapInArrow(passed, "vec_id bigint")
+    assert len(store.gather(sample).collect()) == 300
+    assert read.value == 600
+
+
+def test_texts_are_read_for_the_sample_only(spark, small):
+    from stratavec.plans import queries as Q
+
+    plan = plan_of(Q.gather_from_store(spark, small))
+    assert "text#" not in plan and "token" not in plan
+
+
 def test_several_keys_and_another_session(spark, tmp_path):
     rows = spark.range(600).select(
         (F.col("id") / 3).cast("bigint").alias("example_id"),
